@@ -80,3 +80,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Bytes of text that a Python worker handles at once.
+SLICE_BYTES = 4_000_000
+
+
+def text_slices(batch, column: str, limit: int = SLICE_BYTES):
+    """Cuts an Arrow record batch into runs of rows with at most ``limit`` bytes of text (a longer text stands alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(np.asarray(sizes)):
+        if i > start and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += int(n)
+    if len(batch) > start:
+        yield batch.slice(start, len(batch) - start)
+
+
+class WordCodes(dict):
+    """word -> a number made by ``make``, remembered for up to ``most`` words."""
+
+    def __init__(self, make, most: int = 400_000) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = self.make(word)
+        return value
+
+
+def mix64(x):
+    """Finaliser of a 64-bit hash over a NumPy array of unsigned integers."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x

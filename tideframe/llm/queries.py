@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import decontam, jaccard, langid, mixing, pii, secret_scan, sharding, tokens, vectors
+from tideframe.llm import decontam, jaccard, langid, mixing, pii, repeats, secret_scan, sharding, tokens, vectors
 
 #: The tokenizer's file; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flag(docs, _table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
@@ -80,7 +84,7 @@ def _op3_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secret_scan, op2_token_files, op3_sharding, op4_ngram_jaccard, op5_source_mixing, op6_template_decontamination, op8_language_id, op9_embedding_near_dedup, op10_pii_pseudonyms)
+    every = (op1_secret_scan, op2_token_files, op3_sharding, op4_ngram_jaccard, op5_source_mixing, op6_template_decontamination, op7_repeated_strings, op8_language_id, op9_embedding_near_dedup, op10_pii_pseudonyms)
     return {f.__name__: f for f in every}
 
 

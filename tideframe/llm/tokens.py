@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -174,53 +175,93 @@ class FileReader:
             yield (None if self.null[d] else int(self.ids[d])), int(self.starts[d]), end - int(self.starts[d]), crc
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    out, n = {}, 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(256 + n)
+            n += 1
+    return out
+
+
 class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct piece once.
 
-    Between a space and the characters around it, when neither is white space, byte-level pre-tokenisation always cuts; so
-    a text's ids are those of its pieces (each with the space before it) in a row. Pieces are remembered up to
-    ``most``; where white space meets a space, the pieces are joined and encoded as one. A text that holds a
-    special token's string is encoded whole.
+    Byte-level pre-tokenisation always cuts between a space and the characters around it when neither is white space,
+    and between letters and one of MARKS; so a text's ids are those of its pieces (each with the space before it) in a row.
+    Words of plain letters go straight to the library's model, other pieces through the whole tokenizer; they are
+    remembered, up to ``most``. Where white space meets a space, the pieces are joined and encoded as one. A text
+    that holds a special token's string, and any text for a tokenizer of another kind, is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    MARKS = frozenset(".,;:!?")
+    _held: dict[str, Encoder] = {}
+
+    def __init__(self, path: str, most: int = 900_000) -> None:
+        import json
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.later: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        cut = made["pre_tokenizer"] or {}
+        self.byte_level = made["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex") and made["model"]["type"] == "BPE"
+        self.letters = str.maketrans({b: c for b, c in _byte_letters().items()})
+        self.later: dict[str, bytes | bool] = {}
+        self.first: dict[str, bytes | bool] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One for all tasks of a worker process."""
+        if path not in cls._held:
+            cls._held[path] = cls(path)
+        return cls._held[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: Iterable[str], known: dict[str, bytes | None], before: str) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > self.most:
+    def _word(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _learn(self, known: dict[str, bytes | bool], p: str, before: str) -> bytes | bool:
+        if len(known) >= self.most:
             known.clear()
-            new = list(dict.fromkeys(pieces))
-        good = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(good, self._whole([before + p for p in good]), strict=True))
+        if not p or p[0].isspace() or p[-1].isspace():
+            ids: bytes | bool = False
+        elif p.isalpha() and max(p) < "\u0530":
+            ids = self._word(before + p)
+        elif p[-1] in self.MARKS and p[:-1].isalpha() and max(p) < "\u0530":
+            ids = (known.get(p[:-1]) or self._learn(known, p[:-1], before)) + (self.first.get(p[-1]) or self._learn(self.first, p[-1], ""))
+        else:
+            ids = self._whole([before + p])[0]
+        known[p] = ids
+        return ids
+
+    def _pieces(self, pieces: list[str]) -> bytes:
+        later, body = self.later, pieces[1:]
+        got = list(map(later.get, body))
+        if None in got:
+            for i, g in enumerate(got):
+                if g is None:
+                    p = body[i]
+                    g = later.get(p)
+                    got[i] = self._learn(later, p, " ") if g is None else g
+        head = self.first.get(pieces[0])
+        got.insert(0, self._learn(self.first, pieces[0], "") if head is None else head)
+        if False in got:
+            return b"".join(self._whole(self._joined(pieces)))
+        return b"".join(got)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        out: list[bytes | None] = [None] * len(texts)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if not any(s in t for s in self.special)}
-        self._learn([p[0] for p in split.values()], self.first, "")
-        self._learn([x for p in split.values() for x in p[1:]], self.later, " ")
-        slow = [i for i in range(len(texts)) if i not in split]
-        for i, pieces in split.items():
-            got = [self.later[x] for x in pieces[1:]]
-            got.insert(0, self.first[pieces[0]])
-            try:
-                out[i] = b"".join(got)
-            except TypeError:
-                out[i] = b"".join(self._whole(self._joined(pieces)))
-        for i, ids in zip(slow, self._whole([texts[i] for i in slow]), strict=True):
-            out[i] = ids
-        return out
+        return [self._whole([t])[0] if not self.byte_level or any(s in t for s in self.special) else self._pieces(t.split(" ")) for t in texts]
 
     @staticmethod
     def _joined(pieces: list[str]) -> list[str]:
@@ -273,7 +314,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
                     system.create_dir(root, recursive=True)
                     own = f"{root}/_{name}.{task.taskAttemptId()}"
                     stream = system.open_output_stream(own)
-                    writer, encoder = FileWriter(stream), Encoder(tokenizer)
+                    writer, encoder = FileWriter(stream), Encoder.of(tokenizer)
                 for i, ids in zip(part.column("id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
                     writer.add(i, np.frombuffer(ids + end, dtype="<u4"))
         if writer is not None:

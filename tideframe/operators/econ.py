@@ -47,8 +47,8 @@ def range_volatility(df: DataFrame, entity: str, time: str, n: int, estimator: s
             "close_to_close": (lambda: (C - C1, F.var_samp)),
         }[estimator]()
         v = _roll(x, f, w, n)
-    v = F.greatest(v, F.lit(0.0)) * per_year
-    return df.withColumn(out, F.when(v.isNotNull(), v if variance else F.sqrt(v))).drop("__o", "__h", "__l", "__c", "__c1")
+    v = F.when(v.isNotNull(), F.greatest(v, F.lit(0.0)) * per_year)
+    return df.withColumn(out, v if variance else F.sqrt(v)).drop("__o", "__h", "__l", "__c", "__c1")
 
 
 def corwin_schultz(df: DataFrame, entity: str, time: str, n: int, h: str = "high", low: str = "low", out: str = "spread") -> DataFrame:
@@ -59,7 +59,7 @@ def corwin_schultz(df: DataFrame, entity: str, time: str, n: int, h: str = "high
     k = 3 - 2 * math.sqrt(2)
     a = (math.sqrt(2) - 1) * F.sqrt("__b") / k - F.sqrt(F.col("__g") / k)
     spread = 2 * (F.exp(a) - 1) / (1 + F.exp(a))
-    df = df.withColumn("__s", F.when(F.col("__ok"), F.greatest(spread, F.lit(0.0))))
+    df = df.withColumn("__s", F.when(F.col("__ok") & spread.isNotNull(), F.greatest(spread, F.lit(0.0))))
     return df.withColumn(out, _roll(F.col("__s"), F.avg, w, n)).drop("__b", "__g", "__ok", "__s")
 
 
@@ -121,7 +121,7 @@ def realized_variance(df: DataFrame, entity: str, time: str, ret: str, n: int) -
     df = df.withColumn("__y", F.abs(r) * F.abs(F.lag(r).over(w)))
     f, rows = trailing(w, n), F.count(F.lit(1)).over(trailing(w, n))
     df = df.withColumns({"rv": F.when(rows >= n, F.sum(r * r).over(f)), "bv": F.when(rows >= n, (math.pi / 2) * (n / (n - 1)) * F.sum("__y").over(f))})
-    return df.withColumn("jump", F.greatest(F.col("rv") - F.col("bv"), F.lit(0.0))).drop("__y")
+    return df.withColumn("jump", F.when(F.col("rv").isNotNull() & F.col("bv").isNotNull(), F.greatest(F.col("rv") - F.col("bv"), F.lit(0.0)))).drop("__y")
 
 
 def har_features(df: DataFrame, entity: str, time: str, rv: str, lags: Sequence[int] = (1, 5, 22)) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,19 +11,29 @@ from pyspark.sql import functions as F
 
 from tideframe.functions.core import clean, div
 
-A, P = F.col("__a"), F.col("__p")
-E = P - A
-METRICS: dict[str, Column] = {
-    "mae": F.avg(F.abs(E)),
-    "mfe": F.avg(A - P),
-    "mape": F.avg(div(F.abs(E), F.abs(A))),
-    "mse": F.avg(E * E),
-    "rmse": F.sqrt(F.avg(E * E)),
-    "smape": div(F.sum(F.abs(E)), F.sum(P + A)),
-    "smape_original": 100 * F.avg(2 * F.abs(E) / (0.0001 + F.abs(A) + F.abs(P))),
+def A() -> Column:  # noqa: N802
+    return F.col("__a")
+
+
+def P() -> Column:  # noqa: N802
+    return F.col("__p")
+
+
+def E() -> Column:  # noqa: N802
+    return P() - A()
+
+
+METRICS: dict[str, Callable[[], Column]] = {
+    "mae": lambda: F.avg(F.abs(E())),
+    "mfe": lambda: F.avg(A() - P()),
+    "mape": lambda: F.avg(div(F.abs(E()), F.abs(A()))),
+    "mse": lambda: F.avg(E() * E()),
+    "rmse": lambda: F.sqrt(F.avg(E() * E())),
+    "smape": lambda: div(F.sum(F.abs(E())), F.sum(P() + A())),
+    "smape_original": lambda: 100 * F.avg(2 * F.abs(E()) / (0.0001 + F.abs(A()) + F.abs(P()))),
     # sums of the predictions themselves, not of the differences
-    "overforecast": F.coalesce(F.sum(F.when(P > A, P)), F.lit(0.0)),
-    "underforecast": F.coalesce(F.sum(F.when(P < A, P)), F.lit(0.0)),
+    "overforecast": lambda: F.coalesce(F.sum(F.when(P() > A(), P())), F.lit(0.0)),
+    "underforecast": lambda: F.coalesce(F.sum(F.when(P() < A(), P())), F.lit(0.0)),
 }
 
 
@@ -34,7 +44,7 @@ def joined(actual: DataFrame, predicted: DataFrame, entity: str, time: str, y: s
 
 def metrics(actual: DataFrame, predicted: DataFrame, entity: str, time: str, y: str, yhat: str, names: Sequence[str] | None = None) -> DataFrame:
     """One row per entity with the metrics asked for: one join and one aggregation."""
-    return joined(actual, predicted, entity, time, y, yhat).groupBy(entity).agg(*[METRICS[n].alias(n) for n in names or METRICS])
+    return joined(actual, predicted, entity, time, y, yhat).groupBy(entity).agg(*[METRICS[n]().alias(n) for n in names or METRICS])
 
 
 def scaled_metrics(actual: DataFrame, predicted: DataFrame, train: DataFrame, entity: str, time: str, y: str, yhat: str, sp: int = 1) -> DataFrame:
@@ -42,7 +52,7 @@ def scaled_metrics(actual: DataFrame, predicted: DataFrame, train: DataFrame, en
     w = Window.partitionBy(entity).orderBy(time)
     x = clean(F.col(y))
     d = train.select(entity, (x - F.lag(x, sp).over(w)).alias("d")).groupBy(entity).agg(F.avg(F.abs(F.col("d"))).alias("__m1"), F.avg(F.col("d") * F.col("d")).alias("__m2"))
-    e = joined(actual, predicted, entity, time, y, yhat).groupBy(entity).agg(F.avg(F.abs(E)).alias("__mae"), F.avg(E * E).alias("__mse"))
+    e = joined(actual, predicted, entity, time, y, yhat).groupBy(entity).agg(F.avg(F.abs(E())).alias("__mae"), F.avg(E() * E()).alias("__mse"))
     return e.join(d, entity).select(entity, div(F.col("__mae"), F.col("__m1")).alias("mase"), F.sqrt(div(F.col("__mse"), F.col("__m2"))).alias("rmsse"))
 
 

@@ -7,15 +7,19 @@ aggregates, with partial aggregation before the shuffle. Features over value cou
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.core import clean, div
 
-X, N, RN, MEAN = F.col("__x"), F.col("__n"), F.col("__rn"), F.col("__mean")
-MIN, MAX, SD = F.col("__min"), F.col("__max"), F.col("__sd")
+def _held(name: str) -> Callable[[], Column]:
+    """A column of the window pass, made when it is used: there may be no session at import."""
+    return lambda: F.col(name)
+
+
+X, N, RN, MEAN, MIN, MAX, SD = map(_held, ("__x", "__n", "__rn", "__mean", "__min", "__max", "__sd"))
 
 
 def lag(k: int) -> Column:
@@ -35,32 +39,32 @@ def _count(c: Column) -> Column:
 
 
 def autocorrelation(k: int) -> Column:
-    return div(F.sum((X - MEAN) * (lag(k) - MEAN)), F.max(N - k) * F.var_pop(X))
+    return div(F.sum((X() - MEAN()) * (lag(k) - MEAN())), F.max(N() - k) * F.var_pop(X()))
 
 
 def c3(k: int) -> Column:
-    return div(F.sum(X * lag(k) * lag(2 * k)), F.max(N - 2 * k))
+    return div(F.sum(X() * lag(k) * lag(2 * k)), F.max(N() - 2 * k))
 
 
 def cid_ce(normalize: bool = False) -> Column:
-    d = F.sqrt(F.sum((X - lead(1)) * (X - lead(1))))
-    return div(d, F.stddev_pop(X)) if normalize else d
+    d = F.sqrt(F.sum((X() - lead(1)) * (X() - lead(1))))
+    return div(d, F.stddev_pop(X())) if normalize else d
 
 
 def number_peaks(support: int) -> Column:
     peak = F.lit(True)
     for i in range(1, support + 1):
-        peak &= (X > lag(i)) & (X > lead(i))
+        peak &= (X() > lag(i)) & (X() > lead(i))
     return _count(peak)
 
 
 def time_reversal_asymmetry(k: int) -> Column:
-    return F.avg(lead(2 * k) * lead(2 * k) * lead(k) - lead(k) * X * X)
+    return F.avg(lead(2 * k) * lead(2 * k) * lead(k) - lead(k) * X() * X())
 
 
 def benford_correlation() -> Column:
-    digit = F.floor(F.abs(X) / F.pow(F.lit(10.0), F.floor(F.log10(F.when(X != 0, F.abs(X))))))
-    n = F.count(F.when(X != 0, X))
+    digit = F.floor(F.abs(X()) / F.pow(F.lit(10.0), F.floor(F.log10(F.when(X() != 0, F.abs(X()))))))
+    n = F.count(F.when(X() != 0, X()))
     share = [div(_count(digit == k), n) for k in range(1, 10)]
     law = [math.log10(1 + 1 / k) for k in range(1, 10)]
     mean = sum(share[1:], share[0]) / 9.0
@@ -72,55 +76,55 @@ def benford_correlation() -> Column:
 
 
 #: Feature -> aggregate over the columns of the window pass.
-FEATURES: dict[str, Column] = {
-    "absolute_energy": F.sum(X * X),
-    "absolute_maximum": F.max(F.abs(X)),
-    "absolute_sum_of_changes": F.sum(F.abs(X - lag(1))),
-    "autocorrelation_1": autocorrelation(1),
-    "autocorrelation_2": autocorrelation(2),
-    "root_mean_square": F.sqrt(F.avg(X * X)),
-    "benford_correlation": benford_correlation(),
-    "c3_1": c3(1),
-    "c3_2": c3(2),
-    "cid_ce": cid_ce(),
-    "cid_ce_normalized": cid_ce(True),
-    "count_above_0": 100 * div(_count(X >= 0), F.count(F.lit(1))),
-    "count_below_0": 100 * div(_count(X <= 0), F.count(F.lit(1))),
-    "count_above_mean": _count(X > MEAN),
-    "count_below_mean": _count(X < MEAN),
-    "first_location_of_maximum": div(F.min(F.when(X == MAX, RN)) - 1, F.max(N)),
-    "first_location_of_minimum": div(F.min(F.when(X == MIN, RN)) - 1, F.max(N)),
-    "last_location_of_maximum": div(F.max(F.when(X == MAX, RN)), F.max(N)),
-    "last_location_of_minimum": div(F.max(F.when(X == MIN, RN)), F.max(N)),
-    "has_duplicate": F.count(X) != F.count_distinct(X),
-    "has_duplicate_max": _count(X == MAX) > 1,
-    "has_duplicate_min": _count(X == MIN) > 1,
-    "large_standard_deviation": F.stddev_samp(X) > 0.25 * (F.max(X) - F.min(X)),
-    "linear_trend_slope": F.regr_slope(X, (RN - 1).cast("double")),
-    "linear_trend_intercept": F.regr_intercept(X, (RN - 1).cast("double")),
-    "linear_trend_rss": F.regr_syy(X, (RN - 1).cast("double")) - F.regr_slope(X, (RN - 1).cast("double")) * F.regr_sxy(X, (RN - 1).cast("double")),
-    "mean_abs_change": F.avg(F.abs(X - lag(1))),
-    "max_abs_change": F.max(F.abs(X - lag(1))),
-    "mean_change": div(F.max(F.when(RN == N, X)) - F.max(F.when(RN == 1, X)), F.max(F.when(N > 1, N - 1))),
-    "mean_second_derivative_central": div(F.max(F.when(RN == N, X)) - F.max(F.when(RN == N - 1, X)) - F.max(F.when(RN == 2, X)) + F.max(F.when(RN == 1, X)), 2 * F.max(N - 2)),
-    "number_crossings_0": _count((X > 0) != (lag(1) > 0)),
-    "number_peaks_1": number_peaks(1),
-    "number_peaks_3": number_peaks(3),
-    "range_count_0_1": _count((X >= 0) & (X < 1)),
-    "ratio_beyond_1_sigma": div(_count(F.abs(X - MEAN) > SD), F.count(F.lit(1))),
-    "ratio_n_unique_to_length": div(F.count_distinct(X), F.count(F.lit(1))),
-    "symmetry_looking": F.abs(F.avg(X) - F.percentile(X, 0.5)) < 0.25 * (F.max(X) - F.min(X)),
-    "time_reversal_asymmetry_1": time_reversal_asymmetry(1),
-    "variation_coefficient": div(F.stddev_samp(X), F.avg(X)),
-    "var_gt_std": F.var_samp(X) > F.stddev_samp(X),
-    "harmonic_mean": div(F.count(X), F.sum(div(F.lit(1.0), X))),
-    "range_over_mean": div(F.max(X) - F.min(X), F.avg(X)),
-    "range_change": div(F.max(X), F.min(X)) - 1,
-    "realized_volatility": F.sqrt(F.sum(F.pow(F.when((X > 0) & (lag(1) > 0), F.ln(X) - F.ln(lag(1))), F.lit(2.0)))),
-    "return_skew": F.skewness(div(X, lag(1)) - 1),
-    "return_kurtosis": F.kurtosis(div(X, lag(1)) - 1),
-    "num_direction_changes": _count((F.signum(X - lag(1)) != F.signum(lag(1) - lag(2)))),
-    "max_drawdown": F.min(div(X, F.col("__top")) - 1),
+FEATURES: dict[str, Callable[[], Column]] = {
+    "absolute_energy": lambda: F.sum(X() * X()),
+    "absolute_maximum": lambda: F.max(F.abs(X())),
+    "absolute_sum_of_changes": lambda: F.sum(F.abs(X() - lag(1))),
+    "autocorrelation_1": lambda: autocorrelation(1),
+    "autocorrelation_2": lambda: autocorrelation(2),
+    "root_mean_square": lambda: F.sqrt(F.avg(X() * X())),
+    "benford_correlation": lambda: benford_correlation(),
+    "c3_1": lambda: c3(1),
+    "c3_2": lambda: c3(2),
+    "cid_ce": lambda: cid_ce(),
+    "cid_ce_normalized": lambda: cid_ce(True),
+    "count_above_0": lambda: 100 * div(_count(X() >= 0), F.count(F.lit(1))),
+    "count_below_0": lambda: 100 * div(_count(X() <= 0), F.count(F.lit(1))),
+    "count_above_mean": lambda: _count(X() > MEAN()),
+    "count_below_mean": lambda: _count(X() < MEAN()),
+    "first_location_of_maximum": lambda: div(F.min(F.when(X() == MAX(), RN())) - 1, F.max(N())),
+    "first_location_of_minimum": lambda: div(F.min(F.when(X() == MIN(), RN())) - 1, F.max(N())),
+    "last_location_of_maximum": lambda: div(F.max(F.when(X() == MAX(), RN())), F.max(N())),
+    "last_location_of_minimum": lambda: div(F.max(F.when(X() == MIN(), RN())), F.max(N())),
+    "has_duplicate": lambda: F.count(X()) != F.count_distinct(X()),
+    "has_duplicate_max": lambda: _count(X() == MAX()) > 1,
+    "has_duplicate_min": lambda: _count(X() == MIN()) > 1,
+    "large_standard_deviation": lambda: F.stddev_samp(X()) > 0.25 * (F.max(X()) - F.min(X())),
+    "linear_trend_slope": lambda: F.regr_slope(X(), (RN() - 1).cast("double")),
+    "linear_trend_intercept": lambda: F.regr_intercept(X(), (RN() - 1).cast("double")),
+    "linear_trend_rss": lambda: F.regr_syy(X(), (RN() - 1).cast("double")) - F.regr_slope(X(), (RN() - 1).cast("double")) * F.regr_sxy(X(), (RN() - 1).cast("double")),
+    "mean_abs_change": lambda: F.avg(F.abs(X() - lag(1))),
+    "max_abs_change": lambda: F.max(F.abs(X() - lag(1))),
+    "mean_change": lambda: div(F.max(F.when(RN() == N(), X())) - F.max(F.when(RN() == 1, X())), F.max(F.when(N() > 1, N() - 1))),
+    "mean_second_derivative_central": lambda: div(F.max(F.when(RN() == N(), X())) - F.max(F.when(RN() == N() - 1, X())) - F.max(F.when(RN() == 2, X())) + F.max(F.when(RN() == 1, X())), 2 * F.max(N() - 2)),
+    "number_crossings_0": lambda: _count((X() > 0) != (lag(1) > 0)),
+    "number_peaks_1": lambda: number_peaks(1),
+    "number_peaks_3": lambda: number_peaks(3),
+    "range_count_0_1": lambda: _count((X() >= 0) & (X() < 1)),
+    "ratio_beyond_1_sigma": lambda: div(_count(F.abs(X() - MEAN()) > SD()), F.count(F.lit(1))),
+    "ratio_n_unique_to_length": lambda: div(F.count_distinct(X()), F.count(F.lit(1))),
+    "symmetry_looking": lambda: F.abs(F.avg(X()) - F.percentile(X(), 0.5)) < 0.25 * (F.max(X()) - F.min(X())),
+    "time_reversal_asymmetry_1": lambda: time_reversal_asymmetry(1),
+    "variation_coefficient": lambda: div(F.stddev_samp(X()), F.avg(X())),
+    "var_gt_std": lambda: F.var_samp(X()) > F.stddev_samp(X()),
+    "harmonic_mean": lambda: div(F.count(X()), F.sum(div(F.lit(1.0), X()))),
+    "range_over_mean": lambda: div(F.max(X()) - F.min(X()), F.avg(X())),
+    "range_change": lambda: div(F.max(X()), F.min(X())) - 1,
+    "realized_volatility": lambda: F.sqrt(F.sum(F.pow(F.when((X() > 0) & (lag(1) > 0), F.ln(X()) - F.ln(lag(1))), F.lit(2.0)))),
+    "return_skew": lambda: F.skewness(div(X(), lag(1)) - 1),
+    "return_kurtosis": lambda: F.kurtosis(div(X(), lag(1)) - 1),
+    "num_direction_changes": lambda: _count((F.signum(X() - lag(1)) != F.signum(lag(1) - lag(2)))),
+    "max_drawdown": lambda: F.min(div(X(), F.col("__top")) - 1),
 }
 #: Lags and leads that the pass holds.
 LAGS, LEADS = 4, 4
@@ -140,7 +144,7 @@ def extract_features(df: DataFrame, entity: str, time: str | Sequence[str], colu
     """One row per entity with the features asked for."""
     names = list(FEATURES) if features == "all" else list(features)
     held = window_pass(df, entity, [time] if isinstance(time, str) else time, column)
-    return held.groupBy(entity).agg(*[FEATURES[n].alias(n) for n in names])
+    return held.groupBy(entity).agg(*[FEATURES[n]().alias(n) for n in names])
 
 
 def value_count_features(df: DataFrame, entity: str, column: str) -> DataFrame:
@@ -150,8 +154,8 @@ def value_count_features(df: DataFrame, entity: str, column: str) -> DataFrame:
     return counts.groupBy(entity).agg(
         (1 - div(_count(~many), F.sum("c"))).alias("percent_reoccurring_points"),
         div(_count(many), F.count(F.lit(1))).alias("percent_reoccurring_values"),
-        F.coalesce(F.sum(F.when(many, X * F.col("c"))), F.lit(0.0)).alias("sum_reoccurring_points"),
-        F.coalesce(F.sum(F.when(many, X)), F.lit(0.0)).alias("sum_reoccurring_values"),
+        F.coalesce(F.sum(F.when(many, X() * F.col("c"))), F.lit(0.0)).alias("sum_reoccurring_points"),
+        F.coalesce(F.sum(F.when(many, X())), F.lit(0.0)).alias("sum_reoccurring_values"),
     )
 
 
@@ -159,7 +163,7 @@ def binned_entropy(df: DataFrame, entity: str, column: str, bins: int = 10) -> D
     w = Window.partitionBy(entity)
     x = clean(F.col(column))
     held = df.select(entity, x.alias("__x"), F.min(x).over(w).alias("lo"), F.max(x).over(w).alias("hi")).where("__x is not null")
-    place = F.least(F.floor(F.coalesce(div((X - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1))
+    place = F.least(F.floor(F.coalesce(div((X() - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1))
     counts = held.groupBy(entity, place.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     total = F.sum("c").over(w)
     p = counts.select(entity, (F.col("c") / total).alias("p"))
@@ -168,9 +172,9 @@ def binned_entropy(df: DataFrame, entity: str, column: str, bins: int = 10) -> D
 
 def energy_ratios(df: DataFrame, entity: str, time: Sequence[str], column: str, chunks: int = 10) -> DataFrame:
     held = window_pass(df, entity, time, column)
-    size = F.ceil(N / chunks)
-    total = F.sum(X * X)
-    parts = [F.coalesce(div(F.sum(F.when(F.floor((RN - 1) / size) == k, X * X)), total), F.lit(0.0)) for k in range(chunks)]
+    size = F.ceil(N() / chunks)
+    total = F.sum(X() * X())
+    parts = [F.coalesce(div(F.sum(F.when(F.floor((RN() - 1) / size) == k, X() * X())), total), F.lit(0.0)) for k in range(chunks)]
     return held.groupBy(entity).agg(F.array(*parts).alias("energy_ratios"))
 
 
@@ -220,7 +224,7 @@ def streak_features(df: DataFrame, entity: str, time: Sequence[str], column: str
     # the one shuffle by entity serves the pass and all four island windows
     keys = held.select(entity).distinct()
     out = keys
-    for name, condition in (("longest_streak_above_mean", X > MEAN), ("longest_streak_below_mean", X < MEAN), ("longest_winning_streak", X - lag(1) >= 0), ("longest_losing_streak", X - lag(1) <= 0)):
+    for name, condition in (("longest_streak_above_mean", X() > MEAN()), ("longest_streak_below_mean", X() < MEAN()), ("longest_winning_streak", X() - lag(1) >= 0), ("longest_losing_streak", X() - lag(1) <= 0)):
         best = streaks(held, entity, time, condition).groupBy(entity).agg(F.max("length").alias(name))
         out = out.join(best, entity, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
     return out

@@ -39,7 +39,7 @@ def triple_barrier(df: DataFrame, entity: str, time: str, price: str, max_holdin
     df = df.withColumns({"__r": div(p, F.lag(p).over(w)) - 1, "__ahead": F.collect_list(F.struct(p.alias("p"), F.col(time).alias("t"))).over(w.rowsBetween(1, max_holding))})
     df = df.withColumn("__s", F.stddev_samp("__r").over(w.rowsBetween(-(vol_lookback - 1), 0)))
     up, down = p * (1 + pt * F.col("__s")), p * (1 - sl * F.col("__s"))
-    df = df.withColumn("__hit", F.filter("__ahead", lambda x: (x.p >= up) | (x.p <= down))[0])
+    df = df.withColumn("__hit", F.get(F.filter("__ahead", lambda x: (x.p >= up) | (x.p <= down)), F.lit(0)))
     end = F.coalesce(F.col("__hit"), F.try_element_at("__ahead", F.lit(-1)))
     df = df.withColumn("__end", F.when(F.col("__s").isNotNull(), end))
     label = F.when(F.col("__s").isNull() | p.isNull(), None).when(F.col("__hit.p") >= up, 1).when(F.col("__hit.p") <= down, -1).otherwise(0)
@@ -167,7 +167,7 @@ def bet_size(prob: Column, side: Column | None = None, classes: int = 2) -> Colu
 
 
 def discretize(x: Column, step: float) -> Column:
-    return F.least(F.greatest(F.round(x / step) * step, F.lit(-1.0)), F.lit(1.0))
+    return F.when(x.isNotNull(), F.least(F.greatest(F.round(x / step) * step, F.lit(-1.0)), F.lit(1.0)))
 
 
 def sigmoid_w(divergence: float, size: float) -> float:

@@ -87,7 +87,7 @@ def standardize(df: DataFrame, x: str, by: str, winsor: tuple[float, float] | No
 def quantile_bin(x: Column | str, by, q: int) -> Column:
     """Bucket 0 to q-1 from floor((average rank - 1) / N * q)."""
     r = rank(x, by)
-    return F.least(F.floor(div((r - 1) * q, count(x, by))), F.lit(q - 1)).cast("int")
+    return F.when(r.isNotNull(), F.least(F.floor(div((r - 1) * q, count(x, by))), F.lit(q - 1))).cast("int")
 
 
 def neutralize(x: Column | str, factor: Column | str, by, add_intercept: bool = True) -> Column:

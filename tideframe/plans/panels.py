@@ -40,8 +40,10 @@ SQL_PRICES = """pr AS (SELECT l_suppkey AS entity, CAST(date_diff('day', DATE '1
   arg_min(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS open, MAX(l_extendedprice / l_quantity) AS high, MIN(l_extendedprice / l_quantity) AS low,
   arg_max(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS close, SUM(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"""
 
-W = entity_window("entity", "time")
-WE = entity_window("entity", ["ts", "event_id"])
+def W():  # noqa: N802
+    return entity_window("entity", "time")
+
+
 SQL_W = "PARTITION BY entity ORDER BY time"
 SQL_WE = "PARTITION BY entity ORDER BY ts, event_id"
 

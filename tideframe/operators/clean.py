@@ -21,13 +21,10 @@ def unicode_form(form: str = "NFKC"):
     """A vectorised function that brings strings into a Unicode normal form; Spark has none built in."""
     import unicodedata
 
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def f(s: pd.Series) -> pd.Series:
+    def f(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-    return f
+    return F.pandas_udf(f, "string", F.PandasUDFType.SCALAR)
 
 
 def fingerprint(c: Column) -> Column:
@@ -88,11 +85,10 @@ def jaro_winkler(prefix: float = 0.1):
             same += 1
         return jaro + same * prefix * (1 - jaro)
 
-    @F.pandas_udf("double")
-    def f(a: pd.Series, b: pd.Series) -> pd.Series:
+    def f(a, b):
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
-    return f
+    return F.pandas_udf(f, "double", F.PandasUDFType.SCALAR)
 
 
 def exact_unique(df: DataFrame, subset: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:

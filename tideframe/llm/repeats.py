@@ -27,27 +27,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import mix64, written
+from tideframe.llm.common import mix64, powers, release, written
 from tideframe.llm.rlindex import LENGTH, RunLengthIndex
 
 K = 20
 #: Anchors among the windows' places; what a window reaches beyond one on the farther side at least.
 W, REACH = LENGTH - K + 1, (LENGTH - K) // 2
-BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 32_000_000
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Text of a block and of a bucket; buckets of contexts for each bucket of anchors, so that an index stays small.
+BLOCK_BYTES, BUCKET_BYTES, FRAGMENTS = 4_000_000, 32_000_000, 8
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _MASK40 = np.uint64((1 << 40) - 1)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 to the 64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -92,41 +82,33 @@ class Block:
     def find_anchors(self, buckets: int) -> Block:
         """Sets, for each anchor, its place, document and context; and the groups of equal (bucket, anchor, context)."""
         n = len(self.data)
-        power, inverse = _powers(n + 1)
+        power, inverse = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[self.data] * power[:n], out=sums[1:])
         self._sums, self._inverse = sums, inverse
-        usable = np.where(self.null == 0, self.ends, 0)
-        end = np.repeat(usable, self.ends - self.starts)
-        place = np.arange(n)
         m = max(0, n - K + 1)
-        h = mix64((sums[K : K + m] - sums[:m]) * inverse[:m]) | np.uint64(1)
-        low, span = h, 1
-        while span * 2 <= W:
-            low = np.minimum(low[: len(low) - span], low[span:]) if len(low) > span else low[:0]
-            span *= 2
-        rest = W - span
-        if rest and len(low) > rest:
-            low = np.minimum(low[: len(low) - rest], low[rest:])
-        low = low[: max(0, n - LENGTH + 1)].copy()
-        low[place[: len(low)] + LENGTH > end[: len(low)]] = 0
+        # the order of anchors is that of 32 bits of their hashes
+        h = sums[K : K + m] - sums[:m]
+        h *= inverse[:m]
+        h *= _ODD
+        h = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        low = self._extreme(h, np.minimum)[: max(0, n - LENGTH + 1)].copy()
+        late = np.maximum(self.ends[:, None] - np.arange(1, LENGTH), self.starts[:, None]).ravel()
+        low[late[late < len(low)]] = 0  # windows that would pass the end of their document
+        for d in np.flatnonzero(self.null):
+            low[self.starts[d] : self.ends[d]] = 0
         # a place is an anchor if some window around it has its hash as the least
-        top = np.concatenate((np.zeros(W - 1, np.uint64), low, np.zeros(W - 1, np.uint64)))
-        span = 1
-        while span * 2 <= W:
-            top = np.maximum(top[: len(top) - span], top[span:])
-            span *= 2
-        if W - span:
-            top = np.maximum(top[: len(top) - (W - span)], top[W - span :])
+        rim = np.zeros(W - 1, np.uint32)
+        top = self._extreme(np.concatenate((rim, low, rim)), np.maximum)
         self.at = at = np.flatnonzero(top[:m] == h) if len(low) else np.zeros(0, np.int64)
         self.doc = doc = np.searchsorted(self.ends, at, side="right")
         self.lo = lo = np.maximum(self.starts[doc], at - (LENGTH - K))
         self.hi = hi = np.minimum(self.ends[doc], at + LENGTH)
-        anchor = h[at]
+        anchor = self._hash(at, at + K, np.uint64(7))
         context = self._hash(lo, hi, (at - lo).astype(np.uint64) * np.uint64(256) + (hi - lo).astype(np.uint64)) & _MASK40
         bucket = (anchor >> np.uint64(32)) % np.uint64(buckets)
         key = bucket << np.uint64(32) | (anchor & np.uint64(0xFFFFFFFF))
-        order = np.lexsort((doc, context, key))
+        order = np.lexsort((context, key))  # places ascend, so documents do within a group
         key, context = key[order], context[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))) if len(order) else np.zeros(0, bool)
         self.group = np.empty(len(order), np.int64)
@@ -137,8 +119,18 @@ class Block:
         self.cuts = np.searchsorted(self.key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         return self
 
+    @staticmethod
+    def _extreme(x: np.ndarray, f) -> np.ndarray:
+        """The least or largest of every W neighbours, by doubling spans."""
+        span = 1
+        while span * 2 <= W:
+            x = f(x[: len(x) - span], x[span:]) if len(x) > span else x[:0]
+            span *= 2
+        rest = W - span
+        return f(x[: len(x) - rest], x[rest:]) if rest and len(x) > rest else x if not rest else x[:0]
+
     def _hash(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | np.uint64) -> np.ndarray:
-        return mix64((self._sums[b] - self._sums[a]) * self._inverse[a] + mix64(np.atleast_1d(np.asarray(salt, np.uint64)) + np.uint64(_BASE)))
+        return mix64((self._sums[b] - self._sums[a]) * self._inverse[a] + mix64(np.atleast_1d(np.asarray(salt, np.uint64)) + _ODD))
 
     def questions(self):
         """(bucket, its groups packed) for each bucket that the block has anchors of."""
@@ -276,9 +268,9 @@ def _fragments(blocks: DataFrame, buckets: int) -> DataFrame:
             for block, payload, notes in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("notes").to_pylist(), strict=True):
                 b = Block(payload.as_py()).find_anchors(buckets)
                 key, g, first, shift, lo, hi = b.fragments(b.answers([(0, x["bucket"], x["data"]) for x in notes])[1])
-                to = key % np.uint64(buckets)
+                to = key % np.uint64(buckets * FRAGMENTS)
                 order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+                cuts = np.searchsorted(to[order], np.arange(buckets * FRAGMENTS + 1, dtype=np.uint64))
                 rows = []
                 for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                     s = order[cuts[k] : cuts[k + 1]]
@@ -312,13 +304,19 @@ def _masks(table):
     if not len(met):
         return out.empty_table()
     met = met[np.argsort(first[met], kind="stable")]
-    raw = text.tobytes()
-    texts = [raw[e - m : e] for e, m in zip(end[met].tolist(), n[met].tolist(), strict=True)]
-    which, place, least = RunLengthIndex(texts, first[met]).least_documents(texts)
-    hit = least < first[met][which]
-    which, place = met[which[hit]], place[hit]
+    raw, ids = text.tobytes(), first[met]
+    # equal texts are indexed once, under their smallest document
+    unique: dict[bytes, int] = {}
+    same = np.array([unique.setdefault(raw[e - m : e], len(unique)) for e, m in zip(end[met].tolist(), n[met].tolist(), strict=True)])
+    texts = list(unique)
+    lead = ids[np.unique(same, return_index=True)[1]]
+    which, place, least = RunLengthIndex(texts, lead).least_documents(texts)
+    # smallest document of each window of each text; then every context of that text is held against it
+    held = np.full((len(texts), W), np.iinfo(np.int64).max)
+    held[which, place] = least
+    bits = (held[same] < ids[:, None]) @ (np.uint64(1) << np.arange(W, dtype=np.uint64))
     mask = np.zeros(len(key), np.uint32)
-    np.bitwise_or.at(mask, which, np.uint32(1) << (place + shift[which]).astype(np.uint32))
+    mask[met] = (bits << shift[met].astype(np.uint64)).astype(np.uint32)
     rows = []
     for i in np.unique(owner[mask > 0]).tolist():
         s = np.flatnonzero((owner == i) & (mask > 0))
@@ -342,8 +340,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     bits = written(_ask(blocks, buckets).groupBy("bucket").applyInArrow(_bits, _NOTE), "repeats-bits")
+    release(docs.sparkSession)
     pieces = _fragments(_noted(blocks, bits), buckets)
     masks = written(pieces.groupBy("bucket").applyInArrow(_masks, _NOTE), "repeats-masks")
+    release(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else "")
 
     def run(batches):

@@ -17,10 +17,10 @@ LENGTH = 50
 STOP = 0xFF
 
 
-def _ranks(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) by the pairs (a, b); ties keep their places."""
+def _ranks(a: np.ndarray, b: np.ndarray | None = None, stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) by the pairs (a, b); if ``stable``, ties keep their places."""
     key = a if b is None else (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable" if stable else None)
     k = key[order]
     new = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
     rank = np.empty(len(key), dtype=np.uint32)
@@ -54,7 +54,7 @@ class RunLengthIndex:
         for by in (8, 16):
             rank = _ranks(rank, _ahead(rank, by))[1]
         last, before = _ahead(rank, length - 32), _ahead(rank, length - 33)
-        order, _ = _ranks(rank, last)
+        order, _ = _ranks(rank, last, stable=True)
         head = rank[order]
         # groups of suffixes with so many equal bytes
         new = np.concatenate(([True], head[1:] != head[:-1]))
@@ -77,12 +77,20 @@ class RunLengthIndex:
         self.starts = starts
         self.n_runs = len(starts)
 
-    def _step(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """First place of a character's suffixes plus its number before ``at``."""
-        k = np.searchsorted(self.runs, c * (self.n + 1) + at, side="left") - 1
-        k = np.maximum(k, 0)
-        same = self.runs[k] // (self.n + 1) == c
-        return np.where(same, self.target[k] + np.minimum(at - self.starts[k], self.lengths[k]), self.first[c])
+    def _step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place of a character's suffixes plus its number before ``lo``, and before ``hi``."""
+        base = c * (self.n + 1)
+        k = np.searchsorted(self.runs, base + lo, side="left") - 1
+        j = k.copy()
+        far = np.flatnonzero(self.runs[np.minimum(k + 1, self.n_runs - 1)] < base + hi)  # another run begins before hi
+        j[far] = np.searchsorted(self.runs, base[far] + hi[far], side="left") - 1
+        out = []
+        for at, run in ((lo, k), (hi, j)):
+            run = np.maximum(run, 0)
+            start = self.starts[run]
+            same = self.runs[run] - start == base
+            out.append(np.where(same, self.target[run] + np.minimum(at - start, self.lengths[run]), self.first[c]))
+        return out[0], out[1]
 
     def least_documents(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pattern, place, smallest document) of every stretch of ``length`` bytes of the patterns that the index holds.
@@ -106,7 +114,7 @@ class RunLengthIndex:
                 lo[full], hi[full] = self.short[k], self.short[k + 1]
                 got[full] = self.length - 1
             c = data[at]
-            lo, hi = self._step(c, lo), self._step(c, hi)
+            lo, hi = self._step(c, lo, hi)
             got = got + 1
             gone = hi <= lo
             if gone.any():  # no match of this end: the one that ends a byte earlier starts anew

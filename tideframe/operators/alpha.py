@@ -21,10 +21,12 @@ DELAYS, WINDOWS, HALF_LIVES = (1, 5, 10, 20, 40, 60), (5, 10, 20, 40, 60), (2, 5
 
 @dataclass(frozen=True)
 class Context:
-    """Windows of a panel: ``w`` of an entity in time order, ``by`` the columns of a date."""
+    """Windows of a panel: ``w`` of an entity in time order, ``by`` the columns of a date; the names behind ``w``."""
 
     w: WindowSpec
     by: tuple[Column, ...]
+    entity: str = "entity"
+    order: tuple[str, ...] = ("time",)
 
     @property
     def xs(self) -> WindowSpec:
@@ -38,16 +40,17 @@ class AlphaOp:
     name: str
     kind: str  # elem, ts or xs
     arity: int
-    build: Callable[..., Column]
+    build: Callable[..., Column] | None
     grid: tuple[float, ...] = ()
+    frame: Callable | None = None  # (df, context, out, *inputs) for what one window cannot say
 
 
 OPS: dict[str, AlphaOp] = {}
 
 
-def _op(name: str, kind: str, arity: int, grid: tuple[float, ...] = ()):
+def _op(name: str, kind: str, arity: int, grid: tuple[float, ...] = (), frame: bool = False):
     def put(f):
-        OPS[name] = AlphaOp(name, kind, arity, f, grid)
+        OPS[name] = AlphaOp(name, kind, arity, None, grid, f) if frame else AlphaOp(name, kind, arity, f, grid)
         return f
 
     return put
@@ -138,22 +141,27 @@ def _product(c: Context, a: Column, d: int) -> Column:
     return full(F.when(zero == 1, 0.0).otherwise(F.when(minus == 1, -size).otherwise(size)), a, c.w, int(d))
 
 
-@_op("ts_ewm_mean", "ts", 1, HALF_LIVES)
-def _ewm(c: Context, a: Column, half_life: float) -> Column:
-    """m = alpha x + (1 - alpha) m from the first value; a gap of nulls ages the old mean by its length."""
+def ewm(x, half_life: float):
+    """m = a x + (1 - a) m from the first value on; a gap of nulls ages the old mean by its length."""
+    import numpy as np
+
     alpha = 1 - math.exp(-math.log(2) / half_life)
-    from pyspark.sql import Window
+    out, m, old = np.full(len(x), np.nan), None, 1.0
+    for i, v in enumerate(x):
+        if m is not None:
+            old *= 1 - alpha
+        if v == v:
+            m = v if m is None else (old * m + alpha * v) / (old + alpha)
+            out[i], old = m, 1.0
+    return out
 
-    rows = F.collect_list(F.struct(a.alias("x"))).over(c.w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("old"))
 
-    def step(s: Column, r: Column) -> Column:
-        x = r.x
-        old = s.old * (1 - alpha)
-        mean = F.when(s.m.isNull(), x).otherwise((old * s.m + alpha * x) / (old + alpha))
-        return F.when(x.isNull(), F.struct(s.m.alias("m"), F.when(s.m.isNull(), 1.0).otherwise(old).alias("old"))).otherwise(F.struct(mean.alias("m"), F.lit(1.0).alias("old")))
+@_op("ts_ewm_mean", "ts", 1, HALF_LIVES, frame=True)
+def _ewm(df, c: Context, out: str, a: str, half_life: float):
+    """A recursion: each entity's series passes through the kernel once."""
+    from tideframe.operators.series import row_aligned
 
-    return F.when(a.isNotNull(), F.aggregate(rows, start, step, lambda s: s.m))
+    return row_aligned(df, c.entity, list(c.order), a, lambda x: ewm(x, half_life), out)
 
 
 def _paired(f):
@@ -181,15 +189,12 @@ def _winsor(c: Context, a: Column, k: float) -> Column:
     return F.when(a.isNotNull(), F.least(F.greatest(a, m - k * s), m + k * s))
 
 
-@_op("cs_mad_zscore", "xs", 1)
-def _mad(c: Context, a: Column) -> Column:
-    """The distances' median is taken over the date's sorted values, so that one window is enough."""
-    values = F.collect_list(a).over(c.xs)
-    m = F.percentile(a, 0.5).over(c.xs)
-    dist = F.array_sort(F.transform(values, lambda v: F.abs(v - m)))
-    n = F.size(dist)
-    mid = (F.try_element_at(dist, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(dist, F.floor((n + 2) / 2).cast("int"))) / 2
-    return finite(div(a - m, 1.4826 * mid))
+@_op("cs_mad_zscore", "xs", 1, frame=True)
+def _mad(df, c: Context, out: str, a: str):
+    """The median first, then that of the distances: two windows over one partitioning."""
+    df = df.withColumn("__m", F.percentile(F.col(a), 0.5).over(c.xs))
+    df = df.withColumn("__d", F.abs(F.col(a) - F.col("__m")))
+    return df.withColumn(out, finite(div(F.col(a) - F.col("__m"), 1.4826 * F.percentile("__d", 0.5).over(c.xs)))).drop("__m", "__d")
 
 
 # --- programs ---------------------------------------------------------------------------------------------------------
@@ -204,10 +209,18 @@ class Node:
     param: float | None = None
 
 
-def compile_population(df, programs: dict[str, Node], w: WindowSpec, by: tuple[Column, ...]):
+def apply(df, name: str, out: str, *inputs, context: Context):
+    """Adds one operator's column; inputs are column names, then the parameter."""
+    op = OPS[name]
+    if op.frame:
+        return op.frame(df, context, out, *inputs)
+    return df.withColumn(out, op.build(context, *[F.col(x) if isinstance(x, str) else x for x in inputs]))
+
+
+def compile_population(df, programs: dict[str, Node], w: WindowSpec, by: tuple[Column, ...], entity: str = "entity", order: tuple[str, ...] = ("time",)):
     """Adds a column for each program. Equal sub-programs are computed once, in stages: each stage holds all operators whose
     inputs are ready, so that Catalyst plans one window for all of a stage's operators over the same partitioning."""
-    context, done, depth = Context(w, by), {}, {}
+    context, done, depth = Context(w, by, entity, order), {}, {}
 
     def level(n) -> int:
         if isinstance(n, str):
@@ -219,12 +232,17 @@ def compile_population(df, programs: dict[str, Node], w: WindowSpec, by: tuple[C
     for root in programs.values():
         level(root)
     for stage in range(1, max(depth.values(), default=0) + 1):
-        new = {}
+        new, framed = {}, []
         for n in (n for n, k in depth.items() if k == stage):
-            args = [F.col(done.get(a, a) if not isinstance(a, str) else a) for a in n.args]
+            args = [done.get(a, a) if not isinstance(a, str) else a for a in n.args]
             extra = () if n.param is None else (n.param,)
             done[n] = f"__p{len(done)}"
-            new[done[n]] = OPS[n.op].build(context, *args, *extra)
+            if OPS[n.op].frame:
+                framed.append((n.op, done[n], *args, *extra))
+            else:
+                new[done[n]] = OPS[n.op].build(context, *map(F.col, args), *extra)
         df = df.withColumns(new)
+        for name, out, *inputs in framed:
+            df = apply(df, name, out, *inputs, context=context)
     out = df.withColumns({name: F.col(done[root]) for name, root in programs.items()})
     return out.drop(*done.values())

@@ -165,16 +165,17 @@ def demean_within(df: DataFrame, columns: Sequence[str], keys: Sequence[str], to
     for c in columns:
         df = df.withColumn(f"{c}_within", clean(F.col(c)))
     names = [f"{c}_within" for c in columns]
-    for i in range(rounds):
-        for k in keys:
+    sweep = 1 if len(keys) == 1 else 4  # sweeps between two looks at what is left
+    for _ in range(0, rounds, sweep):
+        for k in list(keys) * sweep:
             over = Window.partitionBy(k)
             df = df.withColumns({n: F.col(n) - F.avg(n).over(over) for n in names})
         if len(keys) == 1:
             break
-        df = checkpointed(df) if i % 5 == 4 else df
-        left = df.groupBy(keys[0]).agg(*[F.abs(F.avg(n)).alias(n) for n in names]).agg(F.greatest(*[F.max(n) for n in names], F.lit(0.0)).alias("m")).first()["m"]
-        size = df.agg(F.greatest(*[F.max(F.abs(F.col(n))) for n in names], F.lit(0.0)).alias("m")).first()["m"]
-        if left <= tol * (1 + size):
+        df = checkpointed(df)
+        per = df.groupBy(keys[0]).agg(*[F.avg(n).alias(n) for n in names], *[F.max(F.abs(F.col(n))).alias(f"{n}_max") for n in names])
+        left = per.agg(F.greatest(*[F.max(F.abs(F.col(n))) for n in names], F.lit(0.0)).alias("m"), F.greatest(*[F.max(f"{n}_max") for n in names], F.lit(0.0)).alias("size")).first()
+        if left["m"] <= tol * (1 + left["size"]):
             break
     return df
 

@@ -60,27 +60,31 @@ def zscore(x: Column | str, by, ddof: int = 0) -> Column:
     return div(x - F.avg(x).over(_over(by)), sd.over(_over(by)))
 
 
-def nearest_quantile(x: Column, q: float, by) -> Column:
-    """Quantile without interpolation: the value at the nearest rank, of two equally near the upper one."""
-    values = F.array_sort(F.collect_list(x).over(_over(by)))
-    return F.try_element_at(values, (F.floor(q * (F.size(values) - 1) + 0.5) + 1).cast("int"))
-
-
 def quantile(x: Column, q: float, by) -> Column:
     return F.percentile(x, q).over(_over(by))
 
 
-def winsorize(x: Column | str, by, limits: tuple[float, float], interpolation: str = "nearest") -> Column:
-    """x clipped to the date's quantiles ``limits[0]`` and 1 - ``limits[1]``."""
-    x, pick = clean(col(x)), nearest_quantile if interpolation == "nearest" else quantile
-    lo, hi = pick(x, limits[0], by), pick(x, 1 - limits[1], by)
+def winsorize(x: Column | str, by, limits: tuple[float, float]) -> Column:
+    """x clipped to the date's quantiles ``limits[0]`` and 1 - ``limits[1]``, interpolated linearly; see also :func:`winsorize_nearest`."""
+    x = clean(col(x))
+    lo, hi = quantile(x, limits[0], by), quantile(x, 1 - limits[1], by)
     return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
 
 
+def winsorize_nearest(df: DataFrame, x: str, by: str, limits: tuple[float, float], out: str) -> DataFrame:
+    """x clipped to the values at the nearest ranks (of two equally near the upper one): one sort of the date, no array of it."""
+    w = Window.partitionBy(*_by(by))
+    v = clean(F.col(x))
+    df = df.withColumns({"__v": v, "__k": F.row_number().over(w.orderBy(v.asc_nulls_last())), "__n": F.count(v).over(w)})
+    at = lambda q: F.max(F.when(F.col("__k") == F.floor(q * (F.col("__n") - 1) + 0.5) + 1, F.col("__v"))).over(w)
+    lo, hi = at(limits[0]), at(1 - limits[1])
+    return df.withColumn(out, F.when(F.col("__v").isNotNull(), F.least(F.greatest(F.col("__v"), lo), hi))).drop("__v", "__k", "__n")
+
+
 def standardize(df: DataFrame, x: str, by: str, winsor: tuple[float, float] | None = None, out: str | None = None) -> DataFrame:
     """Winsorised (if asked for), then z-scored: two windows over the same partitioning."""
     held = "__winsor"
-    df = df.withColumn(held, winsorize(x, by, winsor) if winsor else clean(F.col(x)))
+    df = winsorize_nearest(df, x, by, winsor, held) if winsor else df.withColumn(held, clean(F.col(x)))
     return df.withColumn(out or f"{x}_std", zscore(held, by)).drop(held)
 
 

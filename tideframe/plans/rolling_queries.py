@@ -57,9 +57,9 @@ _put("xs_rank_max", lambda df: xs.rank("y", "time", "max"), "RANK() OVER (PARTIT
 _put("xs_rank_dense", lambda df: xs.rank("y", "time", "dense"), "DENSE_RANK() OVER (PARTITION BY time ORDER BY y)")
 _put("xs_demean", lambda df: xs.demean("x", "time"), f"x - AVG(x) OVER {D}")
 _put("xs_zscore", lambda df: xs.zscore("x", "time"), f"(x - AVG(x) OVER {D}) / NULLIF(STDDEV_POP(x) OVER {D}, 0)")
-_put("xs_winsorize_linear", lambda df: xs.winsorize("x", "time", (0.1, 0.1), "linear"), f"LEAST(GREATEST(x, QUANTILE_CONT(x, 0.1) OVER {D}), QUANTILE_CONT(x, 0.9) OVER {D})")
+_put("xs_winsorize_linear", lambda df: xs.winsorize("x", "time", (0.1, 0.1)), f"LEAST(GREATEST(x, QUANTILE_CONT(x, 0.1) OVER {D}), QUANTILE_CONT(x, 0.9) OVER {D})")
 NEAREST = "LIST_SORT(LIST(x) OVER (PARTITION BY time))[CAST(FLOOR({q} * (COUNT(x) OVER (PARTITION BY time) - 1) + 0.5) AS BIGINT) + 1]"
-_put("xs_winsorize", lambda df: xs.winsorize("x", "time", (0.1, 0.1)), f"LEAST(GREATEST(x, {NEAREST.format(q='0.1::DOUBLE')}), {NEAREST.format(q='(1 - 0.1::DOUBLE)')})")
+_put("xs_winsorize", lambda df: xs.winsorize_nearest(df, "x", "time", (0.1, 0.1), "v"), f"LEAST(GREATEST(x, {NEAREST.format(q='0.1::DOUBLE')}), {NEAREST.format(q='(1 - 0.1::DOUBLE)')})")
 _put("xs_standardize", lambda df: xs.standardize(df, "x", "time", None, "v"), f"(x - AVG(x) OVER {D}) / NULLIF(STDDEV_POP(x) OVER {D}, 0)")
 _put("xs_quantile_bin", lambda df: xs.quantile_bin("x", "time", 5), f"LEAST(FLOOR(({RANK} - 1) * 5 / {N}), 4)")
 _put("xs_neutralize", lambda df: xs.neutralize("x", "y", "time"), f"x - (REGR_INTERCEPT(x, y) OVER {D} + REGR_SLOPE(x, y) OVER {D} * y)")
@@ -129,7 +129,7 @@ for _k, _args, _sql in (
     ("cs_winsor", lambda: (X(), 2.0), f"LEAST(GREATEST(x, AVG(x) OVER {D} - 2 * STDDEV_SAMP(x) OVER {D}), AVG(x) OVER {D} + 2 * STDDEV_SAMP(x) OVER {D})"),
 ):
     _put(f"alpha_{_k}", lambda df, k=_k, args=_args: alpha.OPS[k].build(_context(), *args()), _sql)
-_put("alpha_cs_mad_zscore", lambda df: alpha.OPS["cs_mad_zscore"].build(_context(), X()), f"(x - m) / NULLIF(1.4826 * QUANTILE_CONT(d, 0.5) OVER {D}, 0)", f", s AS (SELECT *, QUANTILE_CONT(x, 0.5) OVER {D} AS m FROM sd), t AS (SELECT *, ABS(x - m) AS d FROM s)")
+_put("alpha_cs_mad_zscore", lambda df: alpha.apply(df, "cs_mad_zscore", "v", "x", context=_context()), f"(x - m) / NULLIF(1.4826 * QUANTILE_CONT(d, 0.5) OVER {D}, 0)", f", s AS (SELECT *, QUANTILE_CONT(x, 0.5) OVER {D} AS m FROM sd), t AS (SELECT *, ABS(x - m) AS d FROM s)")
 
 n = 5
 f = _frame(n)
@@ -164,7 +164,7 @@ _put("alpha_ts_kurt", lambda df: alpha.OPS["ts_kurt"].build(_context(), X(), n),
 _put("alpha_ts_corr", lambda df: alpha.OPS["ts_corr"].build(_context(), X(), Y(), 10), _full(f"COVAR_SAMP(x, y) OVER {_frame(10)} / NULLIF(STDDEV_SAMP(x) OVER {_frame(10)} * STDDEV_SAMP(y) OVER {_frame(10)}, 0)", 10))
 _put("alpha_ts_beta", lambda df: alpha.OPS["ts_beta"].build(_context(), X(), Y(), 10), _full(f"COVAR_SAMP(x, y) OVER {_frame(10)} / NULLIF(VAR_SAMP(y) OVER {_frame(10)}, 0)", 10))
 _a = 1 - math.exp(-math.log(2) / 5)
-_put("alpha_ts_ewm_mean", lambda df: alpha.OPS["ts_ewm_mean"].build(_context(), X(), 5), f"LIST_REDUCE(LIST(x) OVER ({SQL_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda m, z: {_a!r} * z + (1 - {_a!r}) * m)")
+_put("alpha_ts_ewm_mean", lambda df: alpha.apply(df, "ts_ewm_mean", "v", "x", 5, context=_context()), f"LIST_REDUCE(LIST(x) OVER ({SQL_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda m, z: {_a!r} * z + (1 - {_a!r}) * m)")
 
 
 @query(

@@ -44,7 +44,7 @@ def test_audit(panel):
     w = panel.window
     assert not audit.audit(panel.df, F.lag("value", 2).over(w))
     assert not audit.audit(panel.df, F.avg("value").over(w.rowsBetween(-4, 0)))
-    assert [f.rule for f in audit.audit(panel.df, F.lead("value").over(w))] == ["lead"]
+    assert "lead" in [f.rule for f in audit.audit(panel.df, F.lead("value").over(w))]
     assert audit.audit(panel.df, F.avg("value").over(w.rowsBetween(-4, 1)))
     assert audit.audit(panel.df, F.avg("value").over(Window.partitionBy("entity")), "time")
     assert not audit.audit(panel.df, F.avg("value").over(Window.partitionBy("time")), "time")

@@ -30,7 +30,8 @@ def audit(df: DataFrame, expr: Column, time: str | None = None) -> list[Finding]
     history, and is reported.
     """
     plan = df.select(expr.alias("__x"))._jdf.queryExecution().analyzed().toString()
-    line = next((x for x in plan.splitlines() if "windowspecdefinition" in x or "__x" in x), plan)
+    own = set(df._jdf.queryExecution().analyzed().toString().splitlines())
+    line = "\n".join(x for x in plan.splitlines() if "windowspecdefinition" in x and x not in own)
     found = [Finding(rule, why, m.group(0)) for pattern, rule, why in _AHEAD for m in pattern.finditer(line)]
     if time is not None:
         found = [f for f in found if not (f.rule == "frame" and _is_cross_section(line, time))]

@@ -185,3 +185,14 @@ def test_labels_handle_short_series(spark):
     got = labels.triple_barrier(df, "e", "t", "p", 3).collect()
     assert all(r.label is None for r in got)
     assert labels.concurrency(labels.forward_return(df, "e", "t", "p", end_time="t1"), "e", "t").count() == 3
+
+
+def test_pipeline_predicts(panel):
+    p = as_panel(panel)
+    train = p.filter("time < 30")
+    model = transform.Pipeline([transform.TimeSeriesScaler(["signal"], suffix="_z"), transform.LinearModel("value", ["signal_z"])])
+    out = model.fit(train).predict(p).toPandas()
+    pdf = out[out.time < 30]
+    b = np.linalg.lstsq(np.column_stack((np.ones(len(pdf)), pdf.signal_z)), pdf.value, rcond=None)[0]
+    np.testing.assert_allclose(out.prediction, b[0] + b[1] * out.signal_z, atol=1e-9)
+    assert [s for _, a, s in model.audit()] == [True, True] and len(model.named_steps) == 2

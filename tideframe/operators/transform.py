@@ -127,6 +127,44 @@ class FracDiff(PanelTransformer):
         return p.with_columns(**{f"{c}{self.suffix}": rolling.frac_diff(c, p.window, self.d, self.threshold) for c in self.columns or p.value_columns})
 
 
+class PanelEstimator(PanelTransformer):
+    """A transformer whose last word is a prediction."""
+
+    panel_safe, leakage_safe = True, True
+
+    @abstractmethod
+    def predict(self, p: PanelFrame) -> DataFrame: ...
+
+    def transform(self, p: PanelFrame) -> PanelFrame:
+        return p._with(self.predict(p))
+
+
+class LinearModel(PanelEstimator):
+    """Least squares (with a ridge if asked for) of a target on columns: one pass of sums of products, applied as an expression."""
+
+    panel_safe, leakage_safe = True, True
+
+    def __init__(self, target: str, features: Sequence[str], ridge: float = 0.0, out: str = "prediction") -> None:
+        self.target, self.features, self.ridge, self.out = target, list(features), ridge, out
+
+    def fit(self, p: PanelFrame) -> LinearModel:
+        import numpy as np
+
+        from tideframe.operators.panelreg import _square, grams
+
+        r = grams(p.df, [], [*self.features, self.target]).first()
+        m = _square(r["g"], len(self.features) + 2)
+        a = m[:-1, :-1] + self.ridge * np.diag([0.0] + [1.0] * len(self.features))
+        self.coef = (np.linalg.pinv(a) @ m[:-1, -1]).tolist()
+        return self
+
+    def predict(self, p: PanelFrame) -> DataFrame:
+        v = F.lit(self.coef[0])
+        for c, b in zip(self.features, self.coef[1:], strict=True):
+            v = v + clean(F.col(c)) * b
+        return p.df.withColumn(self.out, v)
+
+
 class Pipeline(PanelTransformer):
     """Steps in a row; each is fitted on what the ones before it make of the training rows."""
 
@@ -135,6 +173,19 @@ class Pipeline(PanelTransformer):
     def __init__(self, steps: Sequence[PanelTransformer]) -> None:
         self.steps = list(steps)
 
+    @property
+    def named_steps(self) -> dict[str, PanelTransformer]:
+        return {f"{i}_{type(s).__name__}": s for i, s in enumerate(self.steps)}
+
+    def audit(self) -> list[tuple[str, bool, bool]]:
+        """(step, panel_safe, leakage_safe) as each step declares."""
+        return [(n, s.panel_safe, s.leakage_safe) for n, s in self.named_steps.items()]
+
+    def predict(self, p: PanelFrame) -> DataFrame:
+        for s in self.steps[:-1]:
+            p = s.transform(p)
+        return self.steps[-1].predict(p)
+
     def fit(self, p: PanelFrame) -> Pipeline:
         for s in self.steps:
             p = s.fit(p).transform(p)

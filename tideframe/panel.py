@@ -40,6 +40,30 @@ class PanelFrame:
     def value_columns(self) -> list[str]:
         return [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType) and f.name not in (self.entity, self.time, *self.tiebreak)]
 
+    @property
+    def entity_col(self) -> str:
+        return self.entity
+
+    @property
+    def time_col(self) -> str:
+        return self.time
+
+    @property
+    def schema(self) -> T.StructType:
+        return self.df.schema
+
+    @property
+    def feature_cols(self) -> list[str]:
+        return [c for c in self.df.columns if c not in (self.entity, self.time, *self.tiebreak)]
+
+    def to_native(self) -> DataFrame:
+        return self.df
+
+    to_frame = to_native
+
+    def over_entity(self) -> WindowSpec:
+        return self.window
+
     @property
     def window(self) -> WindowSpec:
         return entity_window(self.entity, [self.time, *self.tiebreak])

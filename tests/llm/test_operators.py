@@ -215,9 +215,10 @@ def test_keep_one(docs, texts):
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
-    got = {r.id: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     comp = helpers.components(1100, links)
-    assert all(comp[a] == got.get(a, a) for a in range(1100))
+    for local in (0, None):
+        got = {r.id: r.component for r in common.components(spark.createDataFrame(links, "a long, b long"), local=local).collect()}
+        assert all(comp[a] == got.get(a, a) for a in range(1100))
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

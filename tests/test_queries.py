@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -21,7 +22,7 @@ def duck(sf):
 
 def rows(df):
     def value(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if isinstance(x, (bool, np.bool_)):
             return bool(x)

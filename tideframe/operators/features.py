@@ -238,3 +238,45 @@ def change_quantiles(df: DataFrame, entity: str, time: Sequence[str], column: st
     inside = F.col("x").between(F.col("lo"), F.col("hi")) & F.col("b").between(F.col("lo"), F.col("hi"))
     change = F.col("x") - F.col("b")
     return held.groupBy(entity).agg(F.avg(F.when(inside, F.abs(change) if absolute else change)).alias("change_quantiles"))
+
+
+def longest_streak(df: DataFrame, entity: str, time: Sequence[str], column: str, threshold: float, above: bool = True) -> DataFrame:
+    """Longest run of changes of at least (at most) the threshold; 0 for an entity without one."""
+    held = window_pass(df, entity, time, column)
+    change = X() - lag(1)
+    best = streaks(held, entity, time, change >= threshold if above else change <= threshold).groupBy(entity).agg(F.max("length").alias("longest_streak"))
+    return held.select(entity).distinct().join(best, entity, "left").select(entity, F.coalesce("longest_streak", F.lit(0)).cast("long").alias("longest_streak"))
+
+
+def streak_length_stats(df: DataFrame, entity: str, time: Sequence[str], column: str, threshold: float, above: bool = True) -> DataFrame:
+    """Statistics of the lengths of the runs of changes of at least (at most) the threshold."""
+    held = window_pass(df, entity, time, column)
+    change = X() - lag(1)
+    runs = streaks(held, entity, time, change >= threshold if above else change <= threshold)
+    n = F.col("length")
+    return runs.groupBy(entity).agg(
+        F.min(n).alias("min"),
+        F.max(n).alias("max"),
+        F.avg(n).alias("mean"),
+        F.stddev_samp(n).alias("std"),
+        F.percentile(n, 0.1).alias("p10"),
+        F.percentile(n, 0.5).alias("median"),
+        F.percentile(n, 0.9).alias("p90"),
+        F.mode(n, True).alias("mode"),
+    )
+
+
+def signed_mci(trade: Column, bid: Column, ask: Column, side: Column) -> Column:
+    """Cost that an aggressive order pays against the middle of the quotes."""
+    return side * (trade - (bid + ask) / 2)
+
+
+def marginal_cost_of_immediacy(bid: Column, ask: Column) -> Column:
+    """Half of the quoted spread."""
+    return (ask - bid) / 2
+
+
+def count_threshold(df: DataFrame, entity: str, column: str, threshold: float, above: bool = True) -> DataFrame:
+    """Per cent of an entity's rows at or above (below) a threshold."""
+    x = clean(F.col(column))
+    return df.groupBy(entity).agg((100 * div(_count(x >= threshold if above else x <= threshold), F.count(F.lit(1)))).alias("percent"))

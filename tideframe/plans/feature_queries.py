@@ -209,3 +209,35 @@ def corridor(spark, sf_dir):
     return features.change_quantiles(user_events(spark, sf_dir), "entity", ORDER, "x", 0.2, 0.8).select("entity", F.round("change_quantiles", 6).alias("v"))
 
 
+
+
+_RUNS = f"""{SQL_PASS}, rr AS (SELECT entity, COUNT(*) AS n FROM (SELECT entity, rn - ROW_NUMBER() OVER (PARTITION BY entity ORDER BY rn) AS i FROM f WHERE x - g1 >= 5) GROUP BY entity, i)"""
+
+
+@query(
+    "feature_streak_length_stats",
+    f"""WITH {_RUNS} SELECT entity, MIN(n) AS "min", MAX(n) AS "max", round(AVG(n), 6) AS "mean", round(STDDEV_SAMP(n), 6) AS "std", round(QUANTILE_CONT(n, 0.1), 6) AS p10, round(QUANTILE_CONT(n, 0.5), 6) AS "median", round(QUANTILE_CONT(n, 0.9), 6) AS p90 FROM rr GROUP BY entity""",
+)
+def streak_stats(spark, sf_dir):
+    df = features.streak_length_stats(user_events(spark, sf_dir), "entity", ORDER, "x", 5.0)
+    return df.select("entity", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p10", "median", "p90")])
+
+
+@query("feature_longest_streak_above", f"WITH {_RUNS}, e AS (SELECT DISTINCT entity FROM f) SELECT e.entity, COALESCE(MAX(n), 0) AS longest_streak FROM e LEFT JOIN rr ON e.entity = rr.entity GROUP BY 1")
+def longest_above(spark, sf_dir):
+    return features.longest_streak(user_events(spark, sf_dir), "entity", ORDER, "x", 5.0)
+
+
+@query("feature_count_above", f"WITH {SQL_EVENTS} SELECT entity, round(100.0 * SUM(CASE WHEN x >= 50 THEN 1 ELSE 0 END) / COUNT(*), 6) AS percent FROM ev GROUP BY entity")
+def count_above(spark, sf_dir):
+    return features.count_threshold(user_events(spark, sf_dir), "entity", "x", 50.0).select("entity", F.round("percent", 6).alias("percent"))
+
+
+@query("feature_mci", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount / 2, 6) AS mci, round((CASE WHEN l_tax > 0.04 THEN 1.0 ELSE -1.0 END) * (l_extendedprice - (l_extendedprice * (1 - l_discount) + l_extendedprice) / 2), 6) AS signed FROM lineitem")
+def mci(spark, sf_dir):
+    from tideframe.plans.panels import read
+
+    df = read(spark, sf_dir, "lineitem")
+    bid, ask = F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_extendedprice")
+    side = F.when(F.col("l_tax") > 0.04, 1.0).otherwise(-1.0)
+    return df.select("l_orderkey", "l_linenumber", F.round(features.marginal_cost_of_immediacy(bid, ask), 6).alias("mci"), F.round(features.signed_mci(ask, bid, ask, side), 6).alias("signed"))

@@ -3,13 +3,14 @@
 A document is the set of its distinct 5-word shingles (64-bit hashes). Documents of equal sets are one class from the
 start. The join then finds the connected components of the classes that share at least 80 % of their union:
 
-1. One scan gives every document its set's size, fingerprint and two min-hashes, and a count sketch of a fixed
-   size over all shingles, which orders them from rare to frequent.
-2. Similar classes are partitioned: all classes of one min-hash are held against one of them (a star, so a family of any size
-   costs one comparison for each member); linked ones form groups.
-3. Groups are cut into pages of at most PAGE classes, each with the union of its members' rare-first prefixes: the
-   token-group matrix, as rows (shingle, page). Two linked sets share a prefix shingle, so a class that shares
-   one with a page of another group is a candidate query of that page; a page of the query's own group need not be opened.
+1. A count sketch of a fixed size over all shingles orders them from rare to frequent. A second scan gives every document its
+   set's size, fingerprint, two min-hashes, and how frequent its shingles are.
+2. Similar classes are partitioned: all classes of one min-hash are held against the one of the most frequent shingles, their
+   likeliest original (a star, so a family of any size costs one comparison for each member); linked ones form groups.
+3. Groups are cut into pages of some PAGE classes, each with the union of its members' rare-first prefixes: the
+   token-group matrix, as rows (shingle, page) with the sizes and the furthest reach of the members that have the shingle. Two
+   linked sets share a prefix shingle, and their overlap lies at or after the first one; so a class that shares one with
+   a page of another group early enough is a candidate query of that page. Its own group's pages need not be opened.
 4. A candidate page is opened only if the query's overlap with the union of its sets reaches 80 % of the query; then each
    member is compared exactly.
 5. Star links and page links give the components.
@@ -21,12 +22,13 @@ different sets with the same 64-bit fingerprint, or shingles with the same hash,
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import WordCodes, components, mix64, text_slices, written
+from tideframe.llm.common import components, mix64, powers, release, text_slices, written
 
 WORDS, PERCENT = 5, 80
 #: Classes of a page on average; queries of a page that one task streams.
@@ -34,39 +36,71 @@ PAGE, SALT = 64, 256
 #: Counters of the sketch and the part of it that is one row; bits of a bitmap.
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 16
 BITMAP = 1 << 25
+_MIX = 0x9E3779B97F4A7C15
 
 
-def _word(w: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-_CODES = WordCodes(_word)
+def shingles_of(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; a text of fewer words is one shingle, one without words none.
+
+    Words of all texts are hashed together, from prefix sums over their bytes.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    n = len(data)
+    power, inverse = powers(n + 1)
+    inside = ~_SPACE[data]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))  # every text ends with white space
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[data] * power[:n], out=sums[1:])
+    codes = mix64((sums[end] - sums[start]) * inverse[start])
+    del sums
+    last = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1)
+    cut = np.concatenate(([0], np.searchsorted(start, last)))
+    m = len(codes) - words + 1
+    h = np.full(max(m, 0), words, dtype=np.uint64)
+    for i in range(words if m > 0 else 0):
+        h = h * np.uint64(_MIX) + codes[i : m + i]
+    h = mix64(h)
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a >= words:
+            s = np.sort(h[a : b - words + 1])
+            keep = np.ones(len(s), dtype=bool)
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s[keep])
+        elif b > a:
+            one = b - a
+            for c in codes[a:b].tolist():
+                one = (one * _MIX + c) & 0xFFFFFFFFFFFFFFFF
+            out.append(mix64(np.array([one], dtype=np.uint64)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, one without words none."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    codes = np.array(list(map(_CODES.__getitem__, text.encode("utf-8", "surrogatepass").lower().split())), dtype=np.uint64)
-    n = min(words, len(codes))
-    if n == 0:
-        return codes
-    m = len(codes) - n + 1
-    h = np.full(m, n, dtype=np.uint64)
-    for i in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : m + i]
-    return np.unique(mix64(h))
+    return shingles_of([text], words)[0]
 
 
 def fingerprint(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _counts_of(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+
+
 def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles, one of which any set with 80 % in common must have in its own prefix."""
+    """The rarest shingles, in order, one of which any set with 80 % in common must have in its own prefix."""
     p = len(s) - (len(s) * PERCENT + 99) // 100 + 1
-    low = np.uint64((1 << SKETCH_BITS) - 1)
-    key = (counts[(s & low).astype(np.int64)].astype(np.uint64) << np.uint64(64 - 24)) | (s >> np.uint64(24))
+    key = (_counts_of(s, counts).astype(np.uint64) << np.uint64(64 - 24)) | (s >> np.uint64(24))
     return s[np.argsort(key, kind="stable")[:p]]
 
 
@@ -74,34 +108,47 @@ def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
     return 100 * common >= PERCENT * (a + b - common)
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: (id, n, cls, m1, m2) of each document; rows of kind 1: part ``n`` of a task's count sketch."""
+def _count(docs: DataFrame) -> DataFrame:
+    """(n, counts): part n of each task's count sketch of all shingles."""
 
     def run(batches):
+        import zlib
+
         import pyarrow as pa
 
-        names = ["kind", "id", "n", "cls", "m1", "m2", "counts"]
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         low = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
-                if sets:
-                    sketch += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-                m = len(sets)
+                sets = shingles_of(part.column("text").to_pylist())
+                sketch += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+        if sketch.any():
+            blocks = [sketch[i : i + SKETCH_BLOCK] for i in range(0, len(sketch), SKETCH_BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], ["n", "counts"])
+
+    return docs.mapInArrow(run, "n long, counts binary")
+
+
+def _scan(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(id, n, cls, m1, m2, common) of each document: size, fingerprint, min-hashes, and how frequent its shingles are."""
+    sketch = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["id", "n", "cls", "m1", "m2", "common"]
+        logs = np.log1p(sketch.value.astype(np.float64))
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                sets = shingles_of(part.column("text").to_pylist())
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 cls = np.array([fingerprint(s) for s in sets], dtype=np.int64)
                 m1 = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
                 m2 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).min() if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column("id"), pa.array(n), pa.array(cls), pa.array(m1), pa.array(m2), pa.nulls(m, pa.binary())], names)
-        blocks = [sketch[i : i + SKETCH_BLOCK] for i in range(0, len(sketch), SKETCH_BLOCK)]
-        if sketch.any():
-            k, none = len(blocks), pa.nulls(len(blocks), pa.int64())
-            import zlib
+                common = np.array([_counts_of(s, logs).mean() if len(s) else 0.0 for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(cls), pa.array(m1), pa.array(m2), pa.array(common)], names)
 
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, pa.array(np.arange(k)), none, none, none, pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], names)
-
-    return docs.mapInArrow(run, "kind int, id long, n long, cls long, m1 long, m2 long, counts binary")
+    return docs.mapInArrow(run, "id long, n long, cls long, m1 long, m2 long, common double")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -153,40 +200,44 @@ def _low_bits(c: Column) -> Column:
     return c.bitwiseAND(F.lit(BITMAP - 1))
 
 
+def _key_bits(cls: Column, doc: Column) -> Column:
+    return _low_bits(cls.bitwiseXOR(doc).bitwiseXOR(F.shiftleft(doc, 13)))
+
+
 def _sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(cls, n, set) of the needed classes, from their smallest document; a bitmap keeps most other documents out of the shuffle."""
+    """(cls, doc, set) of the needed classes' smallest documents; a bitmap keeps most others from being sent.
+
+    A few others pass, and repeated rows come repeatedly: the join on (cls, doc) that follows sorts that out.
+    """
     context = docs.sparkSession.sparkContext
-    bitmap = context.broadcast(_bitmap(need.select(_low_bits(F.col("cls")).alias("bit"))))
+    bitmap = context.broadcast(_bitmap(need.select(_key_bits(F.col("cls"), F.col("doc")).alias("bit"))))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in text_slices(batch, "text"):
-                out: list[tuple[int, int, int, bytes]] = []
-                for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    s = shingles(t)
-                    if len(s) and _in_bitmap(bitmap.value, np.array([c := fingerprint(s)], dtype=np.int64).view(np.uint64))[0]:
-                        out.append((c, i, len(s), s.tobytes()))
-                if out:
-                    cls, ids, n, sets = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["cls", "id", "n", "set"])
-
-    rows = docs.mapInArrow(run, "cls long, id long, n long, set binary")
-    first = need.select("cls", F.col("doc").alias("id"))
-    # rows of equal sets under one id (repeated rows) are one set
-    return rows.join(first, ["cls", "id"], "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set"))
-
-
-def _open(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
+                sets = shingles_of(part.column("text").to_pylist())
+                ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                cls = np.array([fingerprint(s) for s in sets], dtype=np.int64)
+                hit = np.flatnonzero(_in_bitmap(bitmap.value, (cls ^ ids ^ (ids << 13)).view(np.uint64)))
+                hit = [i for i in hit.tolist() if len(sets[i])]
+                if hit:
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(ids[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], ["cls", "doc", "set"])
+
+    return docs.mapInArrow(run, "cls long, doc long, set binary")
+
+
+def _open(sets: DataFrame, members: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between queries (page, q) and members (page, cls) of the pages: for each query the first of each page.
 
-    A page's members are few; its queries, of any number, are dealt out by a salt and stream past the members.
+    ``docs`` gives the document of each class. A page's members are few; its queries, of any number, are dealt out by a salt
+    and stream past the members.
     """
     count = queries.groupBy("page").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT)).cast("int").alias("salts"))
     q = queries.join(count, "page").select("page", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.col("q").alias("cls"), F.lit(1).alias("role"))
     m = members.join(count, "page").select("page", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "cls", F.lit(0).alias("role"))
-    rows = q.unionByName(m).join(sets, "cls").select("page", "salt", "role", "cls", "set")
+    rows = q.unionByName(m).join(docs, "cls").join(sets, ["cls", "doc"]).select("page", "salt", "role", "cls", "set")
     rows = rows.repartition("page", "salt").sortWithinPartitions("page", "salt", "role", "cls")
 
     def run(batches):
@@ -200,7 +251,7 @@ def _open(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
             for r, (page, salt, role, cls) in enumerate(zip(*cols, strict=True)):
                 if key != (page, salt):
                     key, held, built = (page, salt), [], None
-                s = np.frombuffer(data[r].as_py(), dtype=np.uint64)
+                s = np.frombuffer(data[r].as_buffer(), dtype=np.uint64)
                 if role == 0:
                     held.append((cls, s))
                     continue
@@ -231,7 +282,7 @@ def _open(sets: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None) -> DataFrame:
-    """(token, cls) over the documents' prefixes; with ``only``, of the tokens in that bitmap alone."""
+    """(token, cls, place) over the documents' prefixes; with ``only``, of the tokens in that bitmap alone."""
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(counts)
     keep = context.broadcast(only)
@@ -241,21 +292,23 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None) -> D
 
         for batch in batches:
             for part in text_slices(batch, "text"):
-                tokens, cls, sizes = [], [], []
-                for t in part.column("text").to_pylist():
-                    s = shingles(t)
+                tokens, cls, sizes, places = [], [], [], []
+                for s in shingles_of(part.column("text").to_pylist()):
                     if not len(s):
                         continue
                     p = prefix(s, sketch.value)
+                    at = np.arange(len(p), dtype=np.int32)
                     if keep.value is not None:
-                        p = p[_in_bitmap(keep.value, p >> np.uint64(20))]
+                        at = at[_in_bitmap(keep.value, p >> np.uint64(20))]
+                        p = p[at]
                     tokens.append(p)
+                    places.append(at)
                     cls.append(fingerprint(s))
                     sizes.append(len(p))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, dtype=np.int64), sizes))], ["token", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, dtype=np.int64), sizes)), pa.array(np.concatenate(places))], ["token", "cls", "place"])
 
-    return docs.mapInArrow(run, "token long, cls long")
+    return docs.mapInArrow(run, "token long, cls long, place int")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,28 +319,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     their sets. Other columns are not read.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    scan = written(_scan(docs), "jaccard-scan")
-    rows = scan.where("kind = 0").select("id", "n", "cls", "m1", "m2")
-    counts = _sketch(scan.where("kind = 1"))
+    counts = _sketch(written(_count(docs), "jaccard-sketch"))
+    rows = written(_scan(docs, counts), "jaccard-scan")
     live = docs.where("id is not null and text is not null")
-    classes = rows.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"))
+    classes = rows.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("common").alias("common"))
     classes = written(classes, "jaccard-classes")
 
     stars = None
-    for m in ("m1", "m2"):
-        reps = classes.groupBy(m).agg(F.min("cls").alias("page"), F.count(F.lit(1)).alias("k")).where("k > 1").select(m, "page")
-        one = classes.join(reps, m).where("cls != page").select("page", F.col("cls").alias("q"))
+    for m, shift in (("m1", 0.0), ("m2", 0.5)):
+        # sets of one min-hash and of like size; the class of the most frequent shingles is the likeliest original of the others
+        banded = classes.withColumn("band", F.floor(F.ln("n") / F.lit(math.log(100 / PERCENT)) + shift))
+        reps = banded.groupBy(m, "band").agg(F.max(F.struct("common", "cls", "n")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        one = banded.join(reps.select(m, "band", F.col("top.cls").alias("page"), F.col("top.n").alias("pn")), [m, "band"])
+        one = one.where((F.col("cls") != F.col("page")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * PERCENT)).select("page", F.col("cls").alias("q"))
         stars = one if stars is None else stars.unionByName(one)
     stars = written(stars.distinct(), "jaccard-stars")
     need = stars.select(F.col("page").alias("cls")).unionByName(stars.select(F.col("q").alias("cls"))).distinct().join(classes.select("cls", "doc"), "cls")
     need = written(need, "jaccard-need")
-    sets = _sets(live, need)
     pages = stars.select("page").distinct().select("page", F.col("page").alias("cls"))
-    near = written(_open(sets, pages, stars), "jaccard-links")
+    near = written(_open(_sets(live, need), pages, stars, need), "jaccard-links")
     groups = components(near)
+    release(docs.sparkSession)
 
     shared = _prefixes(live, counts, None).groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
     only = _bitmap(shared.select(_low_bits(F.shiftrightunsigned("token", 20)).alias("bit")))
+    release(docs.sparkSession)
     group = classes.select("cls", "n").join(groups.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("grp"))
     group = written(group, "jaccard-groups")
     posts = _prefixes(live, counts, only).distinct().join(group, "cls")
@@ -298,19 +354,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # a group's classes are dealt evenly to as many pages as it needs
     paged = group.join(size, "grp").select("cls", "n", "grp", "size", F.when(F.col("size") == 1, F.col("cls")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / F.lit(PAGE))))).alias("page"))
     paged = written(paged, "jaccard-pages")
-    span = paged.groupBy("page").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    own = posts.select("token", "cls").join(paged, "cls")
-    own = written(own, "jaccard-own")
-    matrix = own.join(span, "page").groupBy("token", "page").agg(F.first("grp").alias("pgrp"), F.first("size").alias("psize"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    asks = own.select("token", F.col("cls").alias("q"), "n", "grp", "size")
+    own = written(posts.select("token", "place", "cls").join(paged, "cls"), "jaccard-own")
+    matrix = own.groupBy("token", "page").agg(F.first("grp").alias("pgrp"), F.first("size").alias("psize"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("rest"))
+    asks = own.select("token", "place", F.col("cls").alias("q"), "n", "grp", "size")
     first = (F.col("size") < F.col("psize")) | ((F.col("size") == F.col("psize")) & (F.col("grp") < F.col("pgrp")))
     fits = (F.col("n") * 100 >= F.col("lo") * PERCENT) & (F.col("hi") * 100 >= F.col("n") * PERCENT)
+    # what a pair has in common lies at or after its first common shingle, on both sides
+    fits &= F.least(F.col("n") - F.col("place"), F.col("rest")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("lo"))
     queries = written(asks.join(matrix, "token").where(first & fits).select("page", "q").distinct(), "jaccard-queries")
     asked = queries.select("page").distinct()
     members = written(paged.select("page", "cls").join(asked, "page", "left_semi"), "jaccard-members")
     need = members.select("cls").unionByName(queries.select(F.col("q").alias("cls"))).distinct().join(classes.select("cls", "doc"), "cls")
     need = written(need, "jaccard-need")
-    more = written(_open(_sets(live, need), members, queries), "jaccard-links")
+    release(docs.sparkSession)
+    more = written(_open(_sets(live, need), members, queries, need), "jaccard-links")
+    release(docs.sparkSession)
 
     comps = components(near.unionByName(more))
     named = classes.select("cls", "doc").join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "doc", F.coalesce("component", "cls").alias("component"))

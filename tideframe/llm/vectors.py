@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import components, written
+from tideframe.llm.common import components, least_reachable, written
 
 COSINE = 0.98
 #: Dimensions of a block; steps of the quantised coordinates; vectors of a cell that one task holds of a side.
@@ -82,20 +82,6 @@ def _cells(classes: DataFrame, cosine: float, payload: bool) -> DataFrame:
     return classes.mapInArrow(run, fields + (", mult long, raw binary, turned binary" if payload else ""))
 
 
-def _stars(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of n nodes over the pairs."""
-    low = np.arange(n)
-    while True:
-        m = np.minimum(low[pairs[:, 0]], low[pairs[:, 1]])
-        new = low.copy()
-        np.minimum.at(new, pairs[:, 0], m)
-        np.minimum.at(new, pairs[:, 1], m)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _compare(rows: list[tuple], block: int, dims: int, cosine: float, same: bool, kind: np.dtype):
     """Links of one task: (class, other copies linked) and star edges. rows: (side, cls, mult, raw, turned)."""
     cls = np.array([r[1] for r in rows], dtype=np.int64)
@@ -128,7 +114,7 @@ def _compare(rows: list[tuple], block: int, dims: int, cosine: float, same: bool
     if not len(pairs):
         return None
     n = np.bincount(pairs[:, 0], weights=mult[pairs[:, 1]], minlength=len(rows)) + np.bincount(pairs[:, 1], weights=mult[pairs[:, 0]], minlength=len(rows))
-    low = _stars(pairs, len(rows))
+    low = least_reachable(pairs[:, 0], pairs[:, 1], len(rows))
     met = np.flatnonzero(n > 0)
     return cls[met], n[met].astype(np.int64), cls[low[met]]
 
@@ -204,5 +190,5 @@ def brute_force(x: np.ndarray, labels: list, cosine: float = COSINE) -> tuple[li
     near = u @ u.T / np.outer(norm, norm) >= cosine
     near &= np.array([[a == b and a is not None for b in labels] for a in labels])
     np.fill_diagonal(near, False)
-    low = _stars(np.argwhere(near), len(x))
+    low = least_reachable(*np.nonzero(near), len(x))
     return near.sum(axis=1).tolist(), low.tolist()

@@ -191,16 +191,16 @@ class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct piece once.
 
     Byte-level pre-tokenisation always cuts between a space and the characters around it when neither is white space,
-    and between letters and one of MARKS; so a text's ids are those of its pieces (each with the space before it) in a row.
-    Words of plain letters go straight to the library's model, other pieces through the whole tokenizer; they are
+    around a line end between such characters, and between letters and a run of MARKS that no apostrophe begins; so
+    a text's ids are those of its pieces (each with the space before it) in a row. Words of plain letters go straight to the library's model, other pieces through the whole tokenizer; they are
     remembered, up to ``most``. Where white space meets a space, the pieces are joined and encoded as one. A text
     that holds a special token's string, and any text for a tokenizer of another kind, is encoded whole.
     """
 
-    MARKS = frozenset(".,;:!?")
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     _held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 900_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -213,7 +213,9 @@ class Encoder:
             made = json.load(f)
         cut = made["pre_tokenizer"] or {}
         self.byte_level = made["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex") and made["model"]["type"] == "BPE"
-        self.letters = str.maketrans({b: c for b, c in _byte_letters().items()})
+        self.letters = str.maketrans(_byte_letters())
+        self.space = _byte_letters()[32]
+        self.line = self._whole(["\n"])[0]
         self.later: dict[str, bytes | bool] = {}
         self.first: dict[str, bytes | bool] = {}
 
@@ -228,19 +230,31 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, text: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        text = text.replace(" ", self.space) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _of(self, known: dict[str, bytes | bool], p: str, before: str) -> bytes:
+        if p == "\n":
+            return self.line
+        return known.get(p) or self._learn(known, p, before)
 
     def _learn(self, known: dict[str, bytes | bool], p: str, before: str) -> bytes | bool:
         if len(known) >= self.most:
             known.clear()
-        if not p or p[0].isspace() or p[-1].isspace():
-            ids: bytes | bool = False
-        elif p.isalpha() and max(p) < "\u0530":
+        ids: bytes | bool
+        if p.isalpha() and (p.isascii() or max(p) < "\u0530"):
             ids = self._word(before + p)
-        elif p[-1] in self.MARKS and p[:-1].isalpha() and max(p) < "\u0530":
-            ids = (known.get(p[:-1]) or self._learn(known, p[:-1], before)) + (self.first.get(p[-1]) or self._learn(self.first, p[-1], ""))
+        elif not p or p[0].isspace() or p[-1].isspace():
+            ids = False
         else:
-            ids = self._whole([before + p])[0]
+            core = p.rstrip(self.MARKS)
+            left, line, right = p.partition("\n")
+            if core.isalpha() and len(core) < len(p) and p[len(core)] != "'" and (p.isascii() or max(p) < "\u0530"):
+                ids = self._of(known, core, before) + self._of(self.first, p[len(core) :], "")
+            elif line and not left[-1:].isspace() and not right[:1].isspace():
+                ids = self._of(known, left, before) + self._of(self.first, line, "") + self._of(self.first, right, "")
+            else:
+                ids = self._whole([before + p])[0]
         known[p] = ids
         return ids
 

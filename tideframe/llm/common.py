@@ -138,10 +138,45 @@ def text_slices(batch, column: str, limit: int = SLICE_BYTES):
         yield batch.slice(start, len(batch) - start)
 
 
+#: Rows and bytes of an Arrow batch of texts: a batch of the usual 10,000 rows may be a GB of long ones.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session that texts travel in to Python workers, if it does not bound them more."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        digits = str(now or "").rstrip("bB")
+        if not digits.lstrip("-").isdigit() or int(digits) <= 0 or int(digits) > most:
+            spark.conf.set(key, str(most))
+
+
+def tidy(batches):
+    """The batches; after the last one, memory that the worker process does not need is given back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def map_texts(df: DataFrame, f, schema) -> DataFrame:
+    """``mapInArrow`` in bounded batches, by workers that tidy up after each task."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: tidy(f(batches)), schema)
+
+
 class WordCodes(dict):
     """word -> a number made by ``make``, remembered for up to ``most`` words."""
 
-    def __init__(self, make, most: int = 200_000) -> None:
+    def __init__(self, make, most: int = 120_000) -> None:
         super().__init__()
         self.make, self.most = make, most
 

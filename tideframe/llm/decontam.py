@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import WordCodes, mix64, text_slices
+from tideframe.llm.common import WordCodes, map_texts, mix64, text_slices
 
 WINDOW, LEAST_LITERAL = 8, 5
 #: Part of an item's words that consistent alignments must cover, or so many words in a row.
@@ -213,7 +213,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                     schema.names,
                 )
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import mix64, text_slices
+from tideframe.llm.common import map_texts, mix64, text_slices
 
 #: Bound of the training sample: documents of each language, and languages (bits of a mask).
 SAMPLE_PER_LANG, MAX_LANGS = 1500, 64
@@ -140,7 +140,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     g, n = np.unique(h[(langs == lang)[at]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    grams = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = map_texts(sample.select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = grams.withColumn("total", F.sum("n").over(_by_lang())).where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * LEAST_SHARE))
     # the sample bounds the rows here, and KEEP those that the driver gets
     top = grams.withColumn("k", F.row_number().over(_by_lang().orderBy(F.desc("n"), "gram"))).where(F.col("k") <= KEEP).select("lang", "gram").toPandas()
@@ -172,4 +172,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
                 langs, scores = shared.value.predict(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, lang_out, score_out])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)

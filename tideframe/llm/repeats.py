@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import mix64, powers, release, written
+from tideframe.llm.common import map_texts, mix64, powers, release, written
 from tideframe.llm.rlindex import LENGTH, RunLengthIndex
 
 K = 20
@@ -206,7 +206,7 @@ def _pack(docs: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.mapInArrow(run, "block long, size long, payload binary")
+    return map_texts(docs, run, "block long, size long, payload binary")
 
 
 def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
                     b, data = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([block] * len(b), pa.int64()), pa.array(data, pa.binary())], ["bucket", "block", "data"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, data binary")
+    return map_texts(blocks, run, "bucket long, block long, data binary")
 
 
 def _bits(table):
@@ -281,7 +281,7 @@ def _fragments(blocks: DataFrame, buckets: int) -> DataFrame:
                     k, block_, data = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(block_, pa.int64()), pa.array(data, pa.binary())], ["bucket", "block", "data"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, data binary")
+    return map_texts(blocks, run, "bucket long, block long, data binary")
 
 
 def _masks(table):
@@ -374,4 +374,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     cols.append(pa.array(texts, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept)
 
-    return _noted(blocks, bits.unionByName(masks)).mapInArrow(run, schema)
+    return map_texts(_noted(blocks, bits.unionByName(masks)), run, schema)

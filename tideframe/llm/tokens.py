@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import fresh_path, n_partitions, text_slices
+from tideframe.llm.common import fresh_path, map_texts, n_partitions, text_slices
 
 MAGIC = b"TIDEDAC1"
 SEGMENT, RANK = 1 << 20, 512
@@ -200,7 +200,7 @@ class Encoder:
     MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     _held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -337,7 +337,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
             system.move(own, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([tokens], pa.int64()), pa.array([count], pa.int64())], schema.names)
 
-    return [(r.file, r.tokens, r.docs) for r in sorted(rows.mapInArrow(write, schema).collect())]
+    return [(r.file, r.tokens, r.docs) for r in sorted(map_texts(rows, write, schema).collect())]
 
 
 def read_files(spark, written: list[tuple[str, int, int]]) -> DataFrame:

@@ -50,16 +50,29 @@ class RunLengthIndex:
         for i in range(8):
             eight = (eight << np.uint64(8)) | padded[i : n + i]
         rank = _ranks(eight)[1]
-        del eight
-        for by in (8, 16):
-            rank = _ranks(rank, _ahead(rank, by))[1]
-        last, before = _ahead(rank, length - 32), _ahead(rank, length - 33)
-        order, _ = _ranks(rank, last, stable=True)
-        head = rank[order]
+        if n < 1 << 21:  # three ranks fit into a key
+            three = lambda r, i, j: (r.astype(np.uint64) << np.uint64(42)) | (_ahead(r, i).astype(np.uint64) << np.uint64(21)) | _ahead(r, j)
+            rank = _ranks(three(rank, 8, 16))[1]
+            known = 24
+            order = np.argsort(three(rank, known, length - known), kind="stable")
+            middle = _ahead(rank, known)
+        else:
+            for by in (8, 16):
+                rank = _ranks(rank, _ahead(rank, by))[1]
+            known = 32
+            order, _ = _ranks(rank, _ahead(rank, length - known), stable=True)
+            middle = rank
+        last, before = _ahead(rank, length - known), _ahead(rank, length - 1 - known)
         # groups of suffixes with so many equal bytes
-        new = np.concatenate(([True], head[1:] != head[:-1]))
-        self.whole = np.flatnonzero(new | np.concatenate(([True], last[order][1:] != last[order][:-1])))
-        self.short = np.append(np.flatnonzero(new | np.concatenate(([True], before[order][1:] != before[order][:-1]))), n)
+        new = np.ones(n, bool)
+        new[1:] = False
+        for r in (rank, middle):
+            r = r[order]
+            new[1:] |= r[1:] != r[:-1]
+        differs = lambda r: np.concatenate(([True], r[order][1:] != r[order][:-1]))
+        self.whole = np.flatnonzero(new | differs(last))
+        self.short = np.append(np.flatnonzero(new | differs(before)), n)
+        self._heads = eight[order]
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         owner = np.concatenate(([-1], np.repeat(np.arange(len(texts)), sizes)))
         self.sample = np.asarray(docs)[owner[order[self.whole]]]
@@ -103,9 +116,15 @@ class RunLengthIndex:
         data = np.frombuffer(b"".join(patterns), dtype=np.uint8).astype(np.int64)
         end = np.cumsum(sizes)[live]
         begin = end - sizes[live]
-        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
-        got = np.zeros(len(live), np.int64)
-        at, out = end.copy(), []
+        # a match begins with its last eight bytes, looked up among the sorted suffixes' first ones
+        eight = np.zeros(len(live), dtype=np.uint64)
+        for i in range(8):
+            eight = (eight << np.uint64(8)) | data[end - 8 + i].astype(np.uint64)
+        lo, hi = (np.searchsorted(self._heads, eight, side=s) for s in ("left", "right"))
+        found = hi > lo
+        got = np.where(found, 8, 0)
+        lo, hi = np.where(found, lo, 0), np.where(found, hi, self.n)
+        at, out = end - got, []
         while len(live):
             at = at - 1
             full = got >= self.length

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import components, mix64, powers, release, text_slices, written
+from tideframe.llm.common import components, map_texts, mix64, powers, release, text_slices, written
 
 WORDS, PERCENT = 5, 80
 #: Classes of a page on average; queries of a page that one task streams.
@@ -126,7 +126,7 @@ def _count(docs: DataFrame) -> DataFrame:
             blocks = [sketch[i : i + SKETCH_BLOCK] for i in range(0, len(sketch), SKETCH_BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], ["n", "counts"])
 
-    return docs.mapInArrow(run, "n long, counts binary")
+    return map_texts(docs, run, "n long, counts binary")
 
 
 def _scan(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -148,7 +148,7 @@ def _scan(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 common = np.array([_counts_of(s, logs).mean() if len(s) else 0.0 for s in sets])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(cls), pa.array(m1), pa.array(m2), pa.array(common)], names)
 
-    return docs.mapInArrow(run, "id long, n long, cls long, m1 long, m2 long, common double")
+    return map_texts(docs, run, "id long, n long, cls long, m1 long, m2 long, common double")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -225,7 +225,7 @@ def _sets(docs: DataFrame, need: DataFrame) -> DataFrame:
                 if hit:
                     yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(ids[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], ["cls", "doc", "set"])
 
-    return docs.mapInArrow(run, "cls long, doc long, set binary")
+    return map_texts(docs, run, "cls long, doc long, set binary")
 
 
 def _open(sets: DataFrame, members: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def _open(sets: DataFrame, members: DataFrame, queries: DataFrame, docs: DataFra
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_texts(rows, run, "a long, b long")
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None) -> DataFrame:
@@ -308,7 +308,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None) -> D
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, dtype=np.int64), sizes)), pa.array(np.concatenate(places))], ["token", "cls", "place"])
 
-    return docs.mapInArrow(run, "token long, cls long, place int")
+    return map_texts(docs, run, "token long, cls long, place int")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,7 +386,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = join(docs, id_col, text_col)
     found = written(found, "jaccard-found")
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    release(docs.sparkSession)
+    # what goes grows with the documents: it is never broadcast, at any size
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct().hint("merge")
     out = docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out

@@ -42,13 +42,13 @@ def focus(spark, sf_dir):
 
 @query("monitor_bsadf")
 def bsadf(spark, sf_dir):
-    df = supplier_day(spark, sf_dir).where("time < 9600").select(*KEYS, "x")
+    df = supplier_day(spark, sf_dir).select(*KEYS, "x")
     return series.bubbles(df, "entity", "time", "x", 30).select(*KEYS, F.round("bsadf", 6).alias("bsadf"))
 
 
 @query("depend_measures")
 def dependence(spark, sf_dir):
-    df = supplier_day(spark, sf_dir).where("time < 9500")
+    df = supplier_day(spark, sf_dir)
     names = list(series.kernels.DEPENDENCE)
     out = series.dependence(df, "entity", ["time"], "x", "y", names)
     return out.select("entity", *[F.round(n, 6).alias(n) for n in names])
@@ -57,7 +57,7 @@ def dependence(spark, sf_dir):
 def _rolling(name: str) -> None:
     @query(f"ts_rolling_{name}")
     def run(spark, sf_dir):
-        df = series.rolling_dependence(supplier_day(spark, sf_dir).where("time < 9500"), "entity", "time", "x", "y", 20, name, "v")
+        df = series.rolling_dependence(supplier_day(spark, sf_dir), "entity", "time", "x", "y", 20, name, "v")
         return df.select(*KEYS, F.round("v", 6).alias("v"))
 
 

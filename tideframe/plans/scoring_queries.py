@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideframe.operators import panelreg, scoring
 from tideframe.plans.catalog import query
 from tideframe.plans.market_queries import _PRED, _predicted
-from tideframe.plans.panels import SQL_SUPPLIER, SQL_W, W, r6, supplier_day
+from tideframe.plans.panels import SQL_SUPPLIER, SQL_W, W, day, r6, read, supplier_day
 
 KEYS = ["entity", "time"]
 _E = _PRED
@@ -58,6 +58,7 @@ def baselines(spark, sf_dir):
 
 
 _XY = ["y"]
+FLAGS = ["A", "N", "R"]
 
 
 @query("regression_hdfe")
@@ -107,9 +108,10 @@ def decompose(spark, sf_dir):
 
 @query("econ_connectedness")
 def connectedness(spark, sf_dir):
-    df = supplier_day(spark, sf_dir).where("entity < 4").groupBy("time").pivot("entity", [1, 2, 3]).agg(F.first("x"))
-    df = df.select("time", *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"s{c}") for c in (1, 2, 3)])
-    return panelreg.connectedness(df, "time", ["s1", "s2", "s3"]).select("name", *[F.round(c, 4).alias(c) for c in ("to", "from", "net")])
+    # a fixed system that every line of every supplier is part of: revenue by return flag
+    lines = read(spark, sf_dir, "lineitem").select(day("l_shipdate").alias("time"), "l_returnflag", F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5).alias("c"))
+    df = lines.groupBy("time").agg(*[F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, F.col("c"))) / 97331.0, F.lit(0.0)).alias(f) for f in FLAGS])
+    return panelreg.connectedness(df, "time", FLAGS).select("name", *[F.round(c, 4).alias(c) for c in ("to", "from", "net")])
 
 
 @query("econ_ivx_screen")

@@ -100,25 +100,38 @@ def exact_unique(df: DataFrame, subset: Sequence[str], order: Sequence[str], kee
 
 def minhash_bands(tokens: Column, bands: int, rows: int, seed: int = 1) -> Column:
     """Band keys of a set of tokens: each band hashes the smallest of ``rows`` seeded hashes."""
-    mins = [[F.array_min(F.transform(tokens, lambda t, s=seed + b * rows + r: F.xxhash64(F.lit(s), t))) for r in range(rows)] for b in range(bands)]
+
+    def least(s: int) -> Column:  # the lambda takes one argument: Spark would give a second one the token's place
+        return F.array_min(F.transform(tokens, lambda t: F.xxhash64(F.lit(s), t)))
+
+    mins = [[least(seed + b * rows + r) for r in range(rows)] for b in range(bands)]
     return F.array(*[F.xxhash64(F.lit(b), *m) for b, m in enumerate(mins)])
 
 
+def bucket_pairs(left: DataFrame, right: DataFrame, key: str, chunk: int = 1024) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, all with all: rows of a crowded key are dealt over tasks in chunks of the left side."""
+    parts = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("__n"))
+    dealt = left.join(parts, key).withColumn("__c", F.pmod(F.xxhash64(*left.columns), F.col("__n")).cast("int")).drop("__n")
+    copied = right.join(parts, key).withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    return dealt.join(copied, [key, "__c"]).drop("__c")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float = 0.8, words: int = 3, bands: int = 16, rows: int = 4) -> DataFrame:
     """Candidate pairs (a, b) of MinHash bands, verified by exact Jaccard of their shingles.
 
-    In each bucket every member is paired with the bucket's smallest id only: links between copies of one text stay a star,
-    and buckets never emit all their pairs. Members whose star pair fails are paired with the nearest id before them.
+    Texts with the same shingles are one class: each copy is linked to the smallest id of its class, and the classes are
+    compared by these ids, every one with every other of its bucket.
     """
-    sets = df.select(F.col(id_col).alias("id"), shingles(F.col(text), words).alias("s"))
-    keys = sets.select("id", F.explode(minhash_bands(F.col("s"), bands, rows)).alias("k"))
-    w = Window.partitionBy("k")
-    pairs = keys.select("id", F.min("id").over(w).alias("a"), F.lag("id").over(w.orderBy("id")).alias("p"))
-    pairs = pairs.select("id", F.explode(F.array_distinct(F.array("a", "p"))).alias("a")).where("a < id").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select("id", F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "id")
+    held = df.select(F.col(id_col).alias("id"), F.array_sort(shingles(F.col(text), words)).alias("s")).where("s is not null")
+    held = held.select("id", "s", F.min("id").over(Window.partitionBy("s")).alias("a"))
+    copies = held.where("a < id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    sets = held.where("a = id").select("id", "s").dropDuplicates(["id"])
+    keys = sets.select("id", F.explode(F.array_distinct(minhash_bands(F.col("s"), bands, rows))).alias("k"))
+    pairs = bucket_pairs(keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b").distinct()
+    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
     sim = div(F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb")))
-    return both.select("a", F.col("id").alias("b"), sim.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return both.select("a", "b", sim.alias("jaccard")).where(F.col("jaccard") >= threshold).unionByName(copies)
 
 
 def simhash(tokens: Column, bits: int = 64) -> Column:

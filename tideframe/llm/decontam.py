@@ -6,6 +6,8 @@ the benchmark's windows; windows with too few literal words are no evidence. Hit
 (place in the text less place in the item) form an alignment, in which each slot of the item must always be filled by
 the same value: such an alignment is a copy, or a re-parameterised copy if values differ. A document is
 contaminated if the windows of consistent alignments cover enough of an item.
+Beside them every window of the lowered words themselves is looked up, whatever its literal words, and every item that
+is shorter than a window as a whole: so a verbatim copy is found also of what templates leave out.
 """
 
 from __future__ import annotations
@@ -34,43 +36,43 @@ QUANTITY = re.compile(r"\d[\d.,]*([a-z]{1,4})")
 UNITS = frozenset("mm cm m km mg g kg t ml cl l s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years inch inches ft feet foot yard yards mile miles lb lbs oz usd eur gbp dollar dollars euro euros pound pounds cent cents percent mph kmh hz khz mhz kb mb gb tb kw kwh v w a k c f meter meters metre metres gram grams kilogram kilograms liter liters litre litres".split())
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 _TITLE, _ENDS, _SKIP = 4, 8, 16
-_PLACE = {NUM: 0x1111 << 8, NAME: 0x2222 << 8, UNIT: 0x3333 << 8}
+_PLACES = np.array([0, 0x1111 << 8, 0x2222 << 8, 0x3333 << 8], dtype=np.uint64)
 
 
 def _code(word: str) -> int:
-    """64 bits: a hash of the canonical word above, its kind and the marks of its context below."""
+    """64 bits: a hash of the lowered word above, its kind and the marks of its context below."""
     ends = _ENDS if word[-1:] in ".!?:…" or word == "\0" else 0
     bare = word.strip(EDGE)
     if word == "\0" or not bare:
         return _SKIP | ends
     low = bare.lower()
     title = _TITLE if bare[0].isupper() and bare[1:] == bare[1:].lower() and bare[0].isalpha() else 0
+    h = int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & ~0xFF
     if NUMBER.fullmatch(low):
-        return _PLACE[NUM] | NUM | ends
+        return h | NUM | ends
     if low in UNITS and len(low) > 1:
-        return _PLACE[UNIT] | UNIT | ends
+        return h | UNIT | ends
     if m := QUANTITY.fullmatch(low):
         if m[1] in UNITS:
-            return _PLACE[NUM] | NUM | ends
-    h = int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return (h & ~0xFF) | LITERAL | title | ends
+            return h | NUM | ends
+    return h | LITERAL | title | ends
 
 
 _CODES = WordCodes(_code)
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, kinds, places among the split words) of a text's template words."""
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, kinds, places among the split words, hashes of the lowered words) of a text's template words."""
     words = text.replace("\n", " \0 ").split()
     raw = np.array(list(map(_CODES.__getitem__, words)), dtype=np.uint64)
     flags = (raw & np.uint64(0xFF)).astype(np.uint8)
     after_end = np.concatenate(([True], (flags[:-1] & _ENDS) > 0)) if len(raw) else np.zeros(0, bool)
     kinds = flags & 3
     kinds[(flags & _TITLE > 0) & ~after_end] = NAME
-    codes = raw & ~np.uint64(0xFF)
-    codes[kinds == NAME] = _PLACE[NAME]
+    exact = raw & ~np.uint64(0xFF)
+    codes = np.where(kinds == LITERAL, exact, _PLACES[kinds])
     keep = flags & _SKIP == 0
-    return codes[keep], kinds[keep], np.flatnonzero(keep)
+    return codes[keep], kinds[keep], np.flatnonzero(keep), exact[keep]
 
 
 def windows(codes: np.ndarray, n: int) -> np.ndarray:
@@ -89,63 +91,83 @@ def _values(text: str, at: np.ndarray) -> list[str]:
 
 
 @dataclass
-class Table:
-    """Windows of benchmark items, sorted by hash; items shorter than a window are one window of their own length."""
+class Windows:
+    """Windows of items, sorted by hash, and the sizes there are."""
 
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    sizes: list[int]
+
+    @classmethod
+    def build(cls, parts: list[tuple[int, np.ndarray, np.ndarray, int]]) -> Windows:
+        """parts: (item, hashes, their places, words of a window)"""
+        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        hashes = cat([h for _, h, _, _ in parts], np.uint64)
+        item, place = cat([np.full(len(h), i) for i, h, _, _ in parts], np.int32), cat([p for _, _, p, _ in parts], np.int32)
+        order = np.argsort(hashes, kind="stable")
+        return cls(hashes[order], item[order], place[order], sorted({n for *_, n in parts}))
+
+    def hits(self, codes: np.ndarray, words: list[int]):
+        """(item, place in the item, place in the text, words) of each window that both have."""
+        if not len(self.hashes):
+            return
+        for n in self.sizes:
+            h = windows(codes, n)
+            left = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            for p in np.flatnonzero(self.hashes[left] == h):
+                for k in range(left[p], len(self.hashes)):
+                    if self.hashes[k] != h[p]:
+                        break
+                    i = int(self.item[k])
+                    if min(WINDOW, words[i]) == n:
+                        yield i, int(self.place[k]), int(p), n
+
+
+@dataclass
+class Table:
+    """Windows of benchmark items, as templates and as they are; items shorter than a window are one window of their own length."""
+
+    templates: Windows
+    exact: Windows
     ids: list[int]
     words: list[int]
     kinds: list[np.ndarray]
     values: list[list[str]]
-    sizes: list[int]
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> Table:
-        hashes, item, place, ids, count, kinds, values, sizes = [], [], [], [], [], [], [], {WINDOW}
+        templates, exact, ids, count, kinds, values = [], [], [], [], [], []
         for item_id, text in items:
-            codes, kind, at = template(text)
+            codes, kind, at, own = template(text)
             n = min(WINDOW, len(codes))
-            literal = kind == LITERAL
-            if n < 4 or literal.sum() < 3:
+            if not n:
                 continue
-            h = windows(codes, n)
-            enough = np.convolve(literal, np.ones(n, int), "valid") >= min(LEAST_LITERAL, n)
-            where = np.flatnonzero(enough)
-            hashes.append(h[where])
-            item.append(np.full(len(where), len(ids)))
-            place.append(where)
+            exact.append((len(ids), windows(own, n), np.arange(len(own) - n + 1), n))
+            literal = kind == LITERAL
+            if n >= 4 and literal.sum() >= 3:
+                where = np.flatnonzero(np.convolve(literal, np.ones(n, int), "valid") >= min(LEAST_LITERAL, n))
+                templates.append((len(ids), windows(codes, n)[where], where, n))
             ids.append(item_id)
             count.append(len(codes))
             kinds.append(kind)
             values.append(_values(text, at))
-            sizes.add(n)
-        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-        hashes, item, place = cat(hashes, np.uint64), cat(item, np.int32), cat(place, np.int32)
-        order = np.argsort(hashes, kind="stable")
-        return cls(hashes[order], item[order], place[order], ids, count, kinds, values, sorted(sizes))
+        return cls(Windows.build(templates), Windows.build(exact), ids, count, kinds, values)
 
     def match(self, text: str | None) -> list[tuple[int, int, bool]]:
         """(item id, words of it that are covered, whether slots were given other values) for each contaminating item."""
-        if not text or not len(self.hashes):
+        if not text or not self.ids:
             return []
-        codes, kinds, at = template(text)
+        codes, kinds, at, exact = template(text)
         found: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-        for n in self.sizes:
-            h = windows(codes, n)
-            left = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            for p in np.flatnonzero(self.hashes[left] == h):
-                for k in range(left[p], len(self.hashes)):
-                    if self.hashes[k] != h[p]:
-                        break
-                    i = int(self.item[k])
-                    if min(WINDOW, self.words[i]) == n:
-                        found[i, int(p - self.place[k])].add((int(self.place[k]), n))
-        if not found:
-            return []
-        own = _values(text, at)
+        for i, place, p, n in self.templates.hits(codes, self.words):
+            found[i, p - place].add((place, n))
         cover: dict[int, set[int]] = defaultdict(set)
+        for i, place, _, n in self.exact.hits(exact, self.words):
+            cover[i].update(range(place, place + n))
+        if not found and not cover:
+            return []
+        own = _values(text, at) if found else []
         other: dict[int, bool] = defaultdict(bool)
         for (i, shift), places in found.items():
             inside = {j for p, n in places for j in range(p, p + n)}
@@ -181,8 +203,8 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     """Adds ``contaminated``, ``item_ids`` (ascending), ``covered_words`` (of the best item) and ``reparameterised`` to every row.
 
     All rows and other columns stay, columns named like a new one are replaced. A null or empty text is clean, as is every
-    text if the benchmark is empty. Items with a null id or text, or fewer than four words or three literal ones, are left
-    out; equal items under several ids are all reported.
+    text if the benchmark is empty. Items with a null id or text, or without a word, are left out; those with
+    fewer than four words or three literal ones are found verbatim only. Equal items under several ids are all reported.
     """
     from pyspark.sql import types as T
 

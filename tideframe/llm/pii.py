@@ -18,7 +18,7 @@ KINDS = ("email", "card", "phone", "ssn", "ip", "iban", "date")
 
 _EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
 _CARD = r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|\.[0-9])"
-_PHONE = r"(?<![0-9A-Za-z.+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|\.[0-9])"
+_PHONE = r"(?<![0-9A-Za-z.+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|\.[0-9])"
 _SSN = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]|\.[0-9])"
 _IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 _IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{20}(?![0-9A-Za-z])"
@@ -126,7 +126,7 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
 
     skip = F.when(F.length(d) == 11, 1).otherwise(0)
     ten = F.substring(d, skip + 1, F.lit(10))
-    phone = one(feistel(_long(F.substring(ten, 1, 3)) - 200, _long(F.substring(ten, 4, 7)) - 2_000_000, 800, 8_000_000, F.lit("phone"), key), lambda s: F.concat(F.substring(d, F.lit(1), skip), (s.l + 200).cast("string"), (s.r + 2_000_000).cast("string")))
+    phone = F.concat(F.substring(d, F.lit(1), skip), permute_digits(ten, F.lit("phone"), key))
 
     area = _long(F.substring(d, 1, 3))
     left = area - 1 - F.when(area > 666, 1).otherwise(0)

@@ -14,8 +14,10 @@ the rank directory (int64, one entry for each RANK bits).
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,13 +193,16 @@ class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct piece once.
 
     Byte-level pre-tokenisation always cuts between a space and the characters around it when neither is white space,
-    around a line end between such characters, and between letters and a run of MARKS that no apostrophe begins; so
-    a text's ids are those of its pieces (each with the space before it) in a row. Words of plain letters go straight to the library's model, other pieces through the whole tokenizer; they are
-    remembered, up to ``most``. Where white space meets a space, the pieces are joined and encoded as one. A text
-    that holds a special token's string, and any text for a tokenizer of another kind, is encoded whole.
+    around a line end between such characters, and between a letter and a run of marks that no apostrophe begins; so
+    a text's ids are those of its pieces in a row. A piece has the space before it, or BARE where there is none. Words of
+    plain letters go straight to the library's model, other pieces through the whole tokenizer; they are remembered, up to
+    ``most``. Where white space meets white space, the pieces around it are joined and encoded as one. A text that holds
+    BARE or a special token's string, and any text for a tokenizer of another kind, is encoded whole.
     """
 
-    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    BARE = "\x01"
+    LINE = BARE + "\n"
+    MARKS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)(?=[ \n])")
     _held: dict[str, Encoder] = {}
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -213,11 +218,8 @@ class Encoder:
             made = json.load(f)
         cut = made["pre_tokenizer"] or {}
         self.byte_level = made["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex") and made["model"]["type"] == "BPE"
-        self.letters = str.maketrans(_byte_letters())
-        self.space = _byte_letters()[32]
-        self.line = self._whole(["\n"])[0]
-        self.later: dict[str, bytes | bool] = {}
-        self.first: dict[str, bytes | bool] = {}
+        self.letters = "".join(c for _, c in sorted(_byte_letters().items()))
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -226,69 +228,57 @@ class Encoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, text: str) -> bytes:
-        text = text.replace(" ", self.space) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-
-    def _of(self, known: dict[str, bytes | bool], p: str, before: str) -> bytes:
-        if p == "\n":
-            return self.line
-        return known.get(p) or self._learn(known, p, before)
-
-    def _learn(self, known: dict[str, bytes | bool], p: str, before: str) -> bytes | bool:
-        if len(known) >= self.most:
-            known.clear()
-        ids: bytes | bool
-        if p.isalpha() and (p.isascii() or max(p) < "\u0530"):
-            ids = self._word(before + p)
-        elif not p or p[0].isspace() or p[-1].isspace():
-            ids = False
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, p: str) -> bytes | None:
+        """Ids of a piece, or None if it is empty or begins or ends with white space other than a line end alone."""
+        core, text = (p[1:], p[1:]) if p[:1] == self.BARE else (p, " " + p)
+        if core.isalpha() and (core.isascii() or max(core) < "\u0530"):
+            ids = array("I", [t.id for t in self.model.tokenize(charmap_decode(text.encode(), "strict", self.letters)[0])]).tobytes()
+        elif not core or p != self.LINE and (core[0].isspace() or core[-1].isspace()):
+            return None
         else:
-            core = p.rstrip(self.MARKS)
-            left, line, right = p.partition("\n")
-            if core.isalpha() and len(core) < len(p) and p[len(core)] != "'" and (p.isascii() or max(p) < "\u0530"):
-                ids = self._of(known, core, before) + self._of(self.first, p[len(core) :], "")
-            elif line and not left[-1:].isspace() and not right[:1].isspace():
-                ids = self._of(known, left, before) + self._of(self.first, line, "") + self._of(self.first, right, "")
-            else:
-                ids = self._whole([before + p])[0]
-        known[p] = ids
+            ids = self._whole(text)
+        if len(self.known) >= self.most:
+            self.known.clear()
+        self.known[p] = ids
         return ids
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        later, body = self.later, pieces[1:]
-        got = list(map(later.get, body))
+    def _one(self, text: str) -> bytes:
+        if not self.byte_level or self.BARE in text or any(s in text for s in self.special):
+            return self._whole(text)
+        pieces = (self.BARE + self.MARKS.sub(" \x01\\1", text)).replace("\n", " \x01\n \x01").split(" ")
+        got = list(map(self.known.get, pieces))
         if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    p = body[i]
-                    g = later.get(p)
-                    got[i] = self._learn(later, p, " ") if g is None else g
-        head = self.first.get(pieces[0])
-        got.insert(0, self._learn(self.first, pieces[0], "") if head is None else head)
-        if False in got:
-            return b"".join(self._whole(self._joined(pieces)))
+            learn, known = self._learn, self.known
+            got = [(known.get(p) or learn(p)) if g is None else g for p, g in zip(pieces, got, strict=True)]
+            if None in got:
+                return self._joined(pieces, got)
         return b"".join(got)
 
+    def _joined(self, pieces: list[str], got: list[bytes | None]) -> bytes:
+        """The ids if some pieces are white space: each run of such and its neighbours on both sides are one text."""
+        blank = [g is None or p == self.LINE for p, g in zip(pieces, got, strict=True)]
+        out, i, n = [], 0, len(pieces)
+        lone = lambda k: blank[k] and got[k] is not None and not (k and blank[k - 1]) and not (k + 1 < n and blank[k + 1])
+        solid = [not b or lone(k) for k, b in enumerate(blank)]
+        while i < n:
+            if solid[i] and (i + 1 == n or solid[i + 1]):
+                out.append(got[i])
+                i += 1
+                continue
+            k = i + 1
+            while k < n and not (solid[k] and solid[k - 1]):
+                k += 1
+            text = "".join(p[1:] if p[:1] == self.BARE else " " + p for p in pieces[i:k])
+            out.append(self._whole(text))
+            i = k
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        return [self._whole([t])[0] if not self.byte_level or any(s in t for s in self.special) else self._pieces(t.split(" ")) for t in texts]
-
-    @staticmethod
-    def _joined(pieces: list[str]) -> list[str]:
-        bad = lambda p: not p or p[0].isspace() or p[-1].isspace()
-        runs, last_bad = [pieces[0]], bad(pieces[0])
-        for p in pieces[1:]:
-            now = bad(p)
-            if now or last_bad:
-                runs[-1] += " " + p
-            else:
-                runs.append(" " + p)
-            last_bad = now
-        return [r for r in runs if r]
+        return list(map(self._one, texts))
 
 
 def _filesystem(uri: str):
@@ -332,6 +322,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc
                 for i, ids in zip(part.column("id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
                     writer.add(i, np.frombuffer(ids + end, dtype="<u4"))
         if writer is not None:
+            encoder.known.clear()  # a worker that is used again does not hold what this task's words took
             tokens, count = writer.close()
             stream.close()
             system.move(own, f"{root}/{name}")

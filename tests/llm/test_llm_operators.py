@@ -423,3 +423,17 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(empty).count() == 0
     same = pii.pseudonymise(docs).select("doc_id", "text").exceptAll(docs.select("doc_id", "text"))
     assert same.count() == 0
+
+
+def test_keep_one_tells_equal_ids_apart(spark):
+    t, u, near = "one two three four five six seven eight nine ten", "an altogether different text of a good many words here", "one two three four five six seven eight nine ten eleven"
+    rows = [(3, t), (5, t), (5, u), (7, u + " x y"), (8, ""), (8, None), (None, t), (9, "alone"), (9, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.keep_one(df).collect()), key=str) == sorted([(3, t), (5, u), (7, u + " x y"), (8, ""), (8, None), (None, t), (9, "alone")], key=str)
+    same = spark.createDataFrame([(1, near), (1, t), (2, near)], "doc_id long, text string")
+    assert len(jaccard.keep_one(same).collect()) == 1
+
+
+def test_digests_depend_on_the_salt():
+    s = jaccard.shingles("one two three four five six")
+    assert jaccard.digest(s) == jaccard.digest(s.copy()) and len({x for salt in range(4) for x in jaccard.digest(s, salt)}) == 8

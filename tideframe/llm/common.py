@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and one process does all (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc()
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         if got.isDefined():
             at = got.get()
         else:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="tideframe-shared-")
             spark.conf.set("spark.checkpoint.dir", at)
             spark.sparkContext.setCheckpointDir(at)

@@ -15,8 +15,9 @@ start. The join then finds the connected components of the classes that share at
    member is compared exactly.
 5. Star links and page links give the components.
 
-Nothing is capped or sampled: the sketch and the bitmaps only save work, and a full one costs time, not links. Two
-different sets with the same 64-bit fingerprint, or shingles with the same hash, would be taken for one.
+Nothing is capped or sampled: the sketch and the bitmaps only save work, and a full one costs time, not links. A class is named
+by 64 bits of its set's 128-bit digest; if two digests share a name, all are named anew with another salt. Two shingles with
+the same 64-bit hash would be taken for one.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from tideframe.llm.common import components, map_texts, mix64, powers, release, text_slices, written
 
 WORDS, PERCENT = 5, 80
-#: Classes of a page on average; queries of a page that one task streams.
-PAGE, SALT = 64, 256
+#: Classes of a page on average; queries of a page that one task streams; parts that the classes of a min-hash are dealt to.
+PAGE, SALT, STAR_SALT = 64, 256, 8
 #: Counters of the sketch and the part of it that is one row; bits of a bitmap.
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 16
 BITMAP = 1 << 25
@@ -89,8 +90,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return shingles_of([text], words)[0]
 
 
-def fingerprint(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """The two halves of a set's digest; the first is its name."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def fingerprint(s: np.ndarray, salt: int = 0) -> int:
+    return digest(s, salt)[0]
 
 
 def _counts_of(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,26 +136,26 @@ def _count(docs: DataFrame) -> DataFrame:
     return map_texts(docs, run, "n long, counts binary")
 
 
-def _scan(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(id, n, cls, m1, m2, common) of each document: size, fingerprint, min-hashes, and how frequent its shingles are."""
+def _scan(docs: DataFrame, counts: np.ndarray, salt: int) -> DataFrame:
+    """(id, t, n, cls, cls2, m1, m2, common) of each document: hash of the text, size, digest, min-hashes, and how frequent its shingles are."""
     sketch = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["id", "n", "cls", "m1", "m2", "common"]
+        names = ["id", "t", "n", "cls", "cls2", "m1", "m2", "common"]
         logs = np.log1p(sketch.value.astype(np.float64))
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sets = shingles_of(part.column("text").to_pylist())
                 n = np.array([len(s) for s in sets], dtype=np.int64)
-                cls = np.array([fingerprint(s) for s in sets], dtype=np.int64)
+                cls = np.array([digest(s, salt) for s in sets], dtype=np.int64).reshape(-1, 2)
                 m1 = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
                 m2 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).min() if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
                 common = np.array([_counts_of(s, logs).mean() if len(s) else 0.0 for s in sets])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(cls), pa.array(m1), pa.array(m2), pa.array(common)], names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t"), pa.array(n), pa.array(np.ascontiguousarray(cls[:, 0])), pa.array(np.ascontiguousarray(cls[:, 1])), pa.array(m1), pa.array(m2), pa.array(common)], names)
 
-    return map_texts(docs, run, "id long, n long, cls long, m1 long, m2 long, common double")
+    return map_texts(docs, run, "id long, t long, n long, cls long, cls2 long, m1 long, m2 long, common double")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -204,7 +211,7 @@ def _key_bits(cls: Column, doc: Column) -> Column:
     return _low_bits(cls.bitwiseXOR(doc).bitwiseXOR(F.shiftleft(doc, 13)))
 
 
-def _sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, need: DataFrame, salt: int) -> DataFrame:
     """(cls, doc, set) of the needed classes' smallest documents; a bitmap keeps most others from being sent.
 
     A few others pass, and repeated rows come repeatedly: the join on (cls, doc) that follows sorts that out.
@@ -219,7 +226,7 @@ def _sets(docs: DataFrame, need: DataFrame) -> DataFrame:
             for part in text_slices(batch, "text"):
                 sets = shingles_of(part.column("text").to_pylist())
                 ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                cls = np.array([fingerprint(s) for s in sets], dtype=np.int64)
+                cls = np.array([fingerprint(s, salt) for s in sets], dtype=np.int64)
                 hit = np.flatnonzero(_in_bitmap(bitmap.value, (cls ^ ids ^ (ids << 13)).view(np.uint64)))
                 hit = [i for i in hit.tolist() if len(sets[i])]
                 if hit:
@@ -281,7 +288,7 @@ def _open(sets: DataFrame, members: DataFrame, queries: DataFrame, docs: DataFra
     return map_texts(rows, run, "a long, b long")
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None) -> DataFrame:
+def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None, salt: int) -> DataFrame:
     """(token, cls, place) over the documents' prefixes; with ``only``, of the tokens in that bitmap alone."""
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(counts)
@@ -303,7 +310,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None) -> D
                         p = p[at]
                     tokens.append(p)
                     places.append(at)
-                    cls.append(fingerprint(s))
+                    cls.append(fingerprint(s, salt))
                     sizes.append(len(p))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(cls, dtype=np.int64), sizes)), pa.array(np.concatenate(places))], ["token", "cls", "place"])
@@ -312,41 +319,56 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None) -> D
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+    """:func:`components_of` with the columns ``doc_id``, ``n_shingles`` and ``component_id``."""
+    found = components_of(docs, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: its ``id``, ``t`` (a hash of its text), ``n`` (shingles) and ``component``, the smallest id reachable by links.
 
     A null or empty text, or one of white space, has no shingles and links with nothing. A row with a null id gets a null
     component, and its links count for nothing. Repeated rows share their class; equal ids with different texts are told apart by
-    their sets. Other columns are not read.
+    their sets. Other columns are not read. A very long text is handled whole, by itself; its sets take some 40 bytes a word.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.withColumn("t", F.xxhash64("text"))
     counts = _sketch(written(_count(docs), "jaccard-sketch"))
-    rows = written(_scan(docs, counts), "jaccard-scan")
-    live = docs.where("id is not null and text is not null")
-    classes = rows.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("common").alias("common"))
-    classes = written(classes, "jaccard-classes")
+    live = docs.where("id is not null and text is not null").select("id", "text")
+    for salt in range(8):
+        rows = written(_scan(docs, counts, salt), "jaccard-scan")
+        classes = rows.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("common").alias("common"), (F.min("cls2") != F.max("cls2")).alias("clash"))
+        classes = written(classes, "jaccard-classes")
+        if classes.where("clash").isEmpty():
+            break
+    else:
+        raise RuntimeError("sets of different digests share their names under every salt")
 
     stars = None
     for m, shift in (("m1", 0.0), ("m2", 0.5)):
         # sets of one min-hash and of like size; the class of the most frequent shingles is the likeliest original of the others
         banded = classes.withColumn("band", F.floor(F.ln("n") / F.lit(math.log(100 / PERCENT)) + shift))
         reps = banded.groupBy(m, "band").agg(F.max(F.struct("common", "cls", "n")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        one = banded.join(reps.select(m, "band", F.col("top.cls").alias("page"), F.col("top.n").alias("pn")), [m, "band"])
+        # any number of classes may share a min-hash: they are dealt to parts, each with a copy of the one representative
+        parts = F.explode(F.sequence(F.lit(0), F.lit(STAR_SALT - 1))).alias("part")
+        reps = reps.select(m, "band", F.col("top.cls").alias("page"), F.col("top.n").alias("pn"), parts)
+        one = banded.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(STAR_SALT)).cast("int")).join(reps, [m, "band", "part"])
         one = one.where((F.col("cls") != F.col("page")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * PERCENT)).select("page", F.col("cls").alias("q"))
         stars = one if stars is None else stars.unionByName(one)
     stars = written(stars.distinct(), "jaccard-stars")
     need = stars.select(F.col("page").alias("cls")).unionByName(stars.select(F.col("q").alias("cls"))).distinct().join(classes.select("cls", "doc"), "cls")
     need = written(need, "jaccard-need")
     pages = stars.select("page").distinct().select("page", F.col("page").alias("cls"))
-    near = written(_open(_sets(live, need), pages, stars, need), "jaccard-links")
+    near = written(_open(_sets(live, need, salt), pages, stars, need), "jaccard-links")
     groups = components(near)
     release(docs.sparkSession)
 
-    shared = _prefixes(live, counts, None).groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
+    shared = _prefixes(live, counts, None, salt).groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
     only = _bitmap(shared.select(_low_bits(F.shiftrightunsigned("token", 20)).alias("bit")))
     release(docs.sparkSession)
     group = classes.select("cls", "n").join(groups.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("grp"))
     group = written(group, "jaccard-groups")
-    posts = _prefixes(live, counts, only).distinct().join(group, "cls")
+    posts = _prefixes(live, counts, only, salt).distinct().join(group, "cls")
     posts = written(posts, "jaccard-posts")
     live_tokens = posts.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token")
     posts = posts.join(live_tokens, "token", "left_semi")
@@ -367,7 +389,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     need = members.select("cls").unionByName(queries.select(F.col("q").alias("cls"))).distinct().join(classes.select("cls", "doc"), "cls")
     need = written(need, "jaccard-need")
     release(docs.sparkSession)
-    more = written(_open(_sets(live, need), members, queries, need), "jaccard-links")
+    more = written(_open(_sets(live, need, salt), members, queries, need), "jaccard-links")
     release(docs.sparkSession)
 
     comps = components(near.unionByName(more))
@@ -376,20 +398,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = named.join(least, "component").select("cls", "least")
     out = rows.join(named, "cls", "left")
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("id", "t", "n", component.alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that of the smallest id; rows with a null id stay. All columns are kept.
 
-    Repeated rows (equal id and text) become one row.
+    Rows of equal ids are told apart by their texts, so each goes or stays with its own component. Of several rows of a
+    component's smallest id that with the least hash of its text stays; repeated rows (equal id and text) become one row.
     """
-    found = join(docs, id_col, text_col)
-    found = written(found, "jaccard-found")
+    found = written(components_of(docs, id_col, text_col).where("id is not null"), "jaccard-found")
     release(docs.sparkSession)
+    gone = found.where("component < id").select("id", "t")
+    repeated = not found.groupBy("id").count().where("count > 1").isEmpty()
+    if repeated:
+        heads = found.where("component = id and n > 0")
+        gone = gone.unionByName(heads.join(heads.groupBy("id").agg(F.min("t").alias("least")), "id").where("t > least").select("id", "t"))
     # what goes grows with the documents: it is never broadcast, at any size
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct().hint("merge")
-    out = docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    gone = gone.distinct().select(F.col("id").alias("__id"), F.col("t").alias("__t")).hint("merge")
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    out = docs.join(gone, (ident.cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__t")), "left_anti")
+    if not repeated:
         return out
-    return out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))
+    return out.where(ident.isNull()).unionByName(out.where(ident.isNotNull()).dropDuplicates([id_col, text_col]))

@@ -15,8 +15,9 @@ without an index of the whole corpus in one place:
    that a smaller document holds come back as bit masks.
 5. Blocks apply the answers.
 
-Hashes have 64 bits, of contexts under one anchor 40 (where two contexts of one anchor collide, one of them would be taken
-for the other); everything else is compared byte by byte in the index.
+A whole context is known by 32 bits and the bucket of its anchor and 64 bits of its own hash, which holds its length and the
+anchor's place: two contexts of one anchor that agree in all would be taken for one. All else is compared byte by byte in
+the index.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ W, REACH = LENGTH - K + 1, (LENGTH - K) // 2
 #: Text of a block and of a bucket; buckets of contexts for each bucket of anchors, so that an index stays small.
 BLOCK_BYTES, BUCKET_BYTES, FRAGMENTS = 4_000_000, 32_000_000, 8
 _ODD = np.uint64(0xD6E8FEB86659FD93)
-_MASK40 = np.uint64((1 << 40) - 1)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -105,7 +105,7 @@ class Block:
         self.lo = lo = np.maximum(self.starts[doc], at - (LENGTH - K))
         self.hi = hi = np.minimum(self.ends[doc], at + LENGTH)
         anchor = self._hash(at, at + K, np.uint64(7))
-        context = self._hash(lo, hi, (at - lo).astype(np.uint64) * np.uint64(256) + (hi - lo).astype(np.uint64)) & _MASK40
+        context = self._hash(lo, hi, (at - lo).astype(np.uint64) * np.uint64(256) + (hi - lo).astype(np.uint64))
         bucket = (anchor >> np.uint64(32)) % np.uint64(buckets)
         key = bucket << np.uint64(32) | (anchor & np.uint64(0xFFFFFFFF))
         order = np.lexsort((context, key))  # places ascend, so documents do within a group
@@ -138,7 +138,7 @@ class Block:
             s = slice(self.cuts[b], self.cuts[b + 1])
             step = np.diff(self.key[s] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype(np.uint32)
             c = self.context[s]
-            yield b, _zip(step, c.astype(np.uint32), (c >> np.uint64(32)).astype(np.uint8), self.first[s] - self.first[s].min(), self.first[s].min(keepdims=True))
+            yield b, _zip(step, c.astype(np.uint32), (c >> np.uint64(32)).astype(np.uint32), self.first[s] - self.first[s].min(), self.first[s].min(keepdims=True))
 
     def answers(self, notes: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(whole, first, masks) from the notes (kind, bucket, data): two bits for each group, and (group, mask) pairs."""

@@ -125,17 +125,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Rows are compared when their labels are equal and not null and their vectors have as many components (without
     ``label_col`` all rows are). A vector that is null, empty or zero, or holds a null or a number that is not finite, links
     with nothing: it is its own component. A null id gets a null component, is not kept, and its links count only for
-    the others. Repeated rows are linked rows.
+    the others. Repeated rows are linked rows. Vectors that agree in two 64-bit hashes of label and components count as equal.
     """
     label = F.col(f"`{label_col}`").cast("string") if label_col else F.lit("")
     v = F.col(f"`{vector_col}`")
     finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), F.lit(False))
     live = F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, finite) & F.exists(v, lambda x: x != 0) & label.isNotNull()
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), label.alias("label"), v.alias("embedding"), F.coalesce(live, F.lit(False)).alias("live"))
-    rows = rows.withColumn("cls", F.when(F.col("live"), F.xxhash64("label", "embedding")))
     kind = np.dtype(np.float64 if "double" in dict(vectors.dtypes)[vector_col] else np.float32)
-    classes = rows.where("live").groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = written(classes.withColumn("dims", F.size("embedding")), "vectors-classes")
+    plain = rows
+    for salt in range(8):  # a class is named by 64 bits of two hashes; if two classes share a name, all are named anew
+        rows = plain.withColumn("cls", F.when(F.col("live"), F.xxhash64(F.lit(salt), "label", "embedding")))
+        other = F.xxhash64(F.lit(-1 - salt), "label", "embedding")
+        classes = rows.where("live").groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), (F.min(other) != F.max(other)).alias("clash"))
+        classes = written(classes.withColumn("dims", F.size("embedding")), "vectors-classes")
+        if classes.where("clash").isEmpty():
+            break
+    else:
+        raise RuntimeError("different vectors share their names under every salt")
 
     key = ["dims", "label", "block", "cx", "cy"]
     light = _cells(classes, cosine, False)

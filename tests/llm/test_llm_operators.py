@@ -395,17 +395,20 @@ def test_crowded_cells_are_cut(spark, monkeypatch):
 
 
 # --- 10 ------------------------------------------------------------------------------------------------------------------------
+KEY = "test-key"
+
+
 def test_feistel_is_a_permutation(spark):
-    df = spark.range(189 * 773 // 27).select(pii.feistel(F.floor(F.col("id") / 773), F.col("id") % 773, 7, 773, F.lit("t")).alias("s"))
+    df = spark.range(189 * 773 // 27).select(pii.feistel(F.floor(F.col("id") / 773), F.col("id") % 773, 7, 773, F.lit("t"), KEY).alias("s"))
     assert df.distinct().count() == 7 * 773
-    two = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("t")).alias("d"))
+    two = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("t"), KEY).alias("d"))
     assert two.distinct().count() == 1000 and two.where("length(d) <> 3").count() == 0
 
 
 def test_pseudonyms(spark, docs, empty):
     text = "call +1 (988) 555-2485 or 212-555-0000; card 4111 1111 1111 1111, 4111111111111112; 078-05-1120 000-12-3456; 2024-02-29 2023-02-30 1.2.3.4 300.1.1.1; a.b@c.org DE89370400440532013000 4111 1111 1111 1111"
     df = spark.createDataFrame([(1, text, "x"), (2, "again 4111-1111-1111-1111 a.b@c.org", "x"), (3, None, "x"), (4, "", "x")], "doc_id long, text string, n_email string")
-    rows = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
     r = rows[1]
     assert (r.n_email, r.n_card, r.n_phone, r.n_ssn, r.n_ip, r.n_iban, r.n_date) == (1, 2, 2, 1, 1, 1, 1)
     for gone in ("988", "4111 1111", "078-05", "2024-02-29", "1.2.3.4;", "a.b@c.org", "DE8937"):
@@ -420,8 +423,8 @@ def test_pseudonyms(spark, docs, empty):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert r.text.split("a.b")[0].count("@") <= 1 and rows[2].text.split()[-1] in r.text
     assert (rows[3].text, rows[4].text, rows[3].n_card) == (None, "", 0)
-    assert pii.pseudonymise(empty).count() == 0
-    same = pii.pseudonymise(docs).select("doc_id", "text").exceptAll(docs.select("doc_id", "text"))
+    assert pii.pseudonymise(empty, KEY).count() == 0
+    same = pii.pseudonymise(docs, KEY).select("doc_id", "text").exceptAll(docs.select("doc_id", "text"))
     assert same.count() == 0
 
 

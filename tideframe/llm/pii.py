@@ -1,7 +1,8 @@
 """Personal data replaced by format-preserving pseudonyms.
 
 Validated numbers (payment cards with a right check digit, telephone numbers, social security numbers, IPv4
-addresses, IBANs) and dates are permuted within their own format by a keyed, mixed-radix Feistel network: the result is
+addresses, IBANs of any country, with or without spaces) and dates (yyyy-MM-dd, and day, month and year with points or
+slashes) are permuted within their own format by a keyed, mixed-radix Feistel network: the result is
 valid in the same format, no two values share a pseudonym, and equal values stay linked across documents.
 E-mail addresses, which have no fixed domain to permute, get a keyed hash as their local part. Everything is DataFrame
 functions: no Python runs on the executors. The key is a parameter and belongs in a secret store.
@@ -12,18 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "tideframe-demo-key"
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ssn", "ip", "iban", "date")
 
-_EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"
-_CARD = r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|\.[0-9])"
+# No group is repeated without a small bound, and unbounded texts meet runs of one class only: the matcher never recurses deeply.
+_EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}"
+_CARD = r"(?<![0-9A-Za-z.])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]|\.[0-9])"
 _PHONE = r"(?<![0-9A-Za-z.+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|\.[0-9])"
+_ABROAD = r"(?<![0-9A-Za-z.+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9A-Za-z]|\.[0-9])"
 _SSN = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]|\.[0-9])"
 _IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-_IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{20}(?![0-9A-Za-z])"
+_IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 _DATE = r"(?<![0-9A-Za-z.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
-PATTERN = "|".join((_EMAIL, _IBAN, _DATE, _SSN, _PHONE, _IP, _CARD))
+_DAY = r"(?<![0-9A-Za-z./-])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![0-9A-Za-z/]|\.[0-9])"
+PATTERN = "|".join((_EMAIL, _IBAN, _DATE, _DAY, _SSN, _PHONE, _ABROAD, _IP, _CARD))
+# fixed values: calling codes of one and two digits; all others have three
+_CODE = r"^(7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 #: Days of 400 years from FIRST_DAY on; 146,097 = 189 * 773 gives the two halves of a date.
 FIRST_DAY, DAYS_L, DAYS_R = "1800-01-01", 189, 773
@@ -33,7 +38,7 @@ def _long(c: Column) -> Column:
     return c.try_cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column | int, b: Column | int, tag: Column, key: str = KEY) -> Column:
+def feistel(left: Column, right: Column, a: Column | int, b: Column | int, tag: Column, key: str) -> Column:
     """Keyed permutation of pairs (left < a, right < b): a struct (l, r). A bijection for every key, tag and pair of moduli."""
     a, b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (a, b))
 
@@ -61,7 +66,7 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), F.lit("0")).cast("long")
 
 
-def permute_digits(d: Column, tag: Column, key: str = KEY) -> Column:
+def permute_digits(d: Column, tag: Column, key: str) -> Column:
     """Keyed permutation of the strings of as many digits as ``d`` (2 to 36)."""
     n = F.length(d)
     h = F.floor(n / 2).cast("int")
@@ -97,26 +102,38 @@ def kind_of(m: Column) -> Column:
     """Kind of a match of PATTERN, or null if the value is not valid in its format."""
     d = _digits(m)
     octets = F.transform(F.split(m, r"\."), lambda x: _long(x))
-    day = F.try_to_date(m, "yyyy-MM-dd")
+    day = _day(m)
     ordinal = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     area, group, serial = (_long(F.substring(d, *x)) for x in ((1, 3), (4, 2), (6, 4)))
-    rest = F.transform(F.array(F.concat(F.substring(m, 5, 18), (F.ascii(F.substring(m, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(m, 2, 1)) - 55).cast("string"), F.substring(m, 3, 2))), _mod97)
     return (
-        F.when(m.contains("@"), "email")
-        .when(m.rlike("^[A-Z]"), F.when(F.element_at(rest, 1) == 1, "iban"))
-        .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when((ordinal >= 0) & (ordinal < DAYS_L * DAYS_R), "date"))
+        F.when(m.contains("@"), F.when(~m.rlike("@[.-]") & ~F.substring_index(m, "@", -1).contains(".."), "email"))
+        .when(m.rlike("^[A-Z]"), F.when((_mod97(F.concat(F.substring(F.regexp_replace(m, " ", ""), 5, 30), F.substring(m, 1, 4))) == 1) & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4), "iban"))
+        .when(m.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.when((ordinal >= 0) & (ordinal < DAYS_L * DAYS_R), "date"))
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), "ssn"))
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(F.forall(octets, lambda x: x < 256) & ~m.rlike(r"(^|\.)0[0-9]"), "ip"))
+        .when(m.rlike(r"^\+[2-9]"), F.when(F.length(d).between(8, 15), "phone"))
         .when(F.length(d) >= 13, F.when(luhn_sum(d, False) % 10 == 0, "card"))
         .when(F.length(d).isin(10, 11), "phone")
     )
 
 
 def _mod97(text: Column) -> Column:
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda s, c: F.when(c == "", s).otherwise((s * 10 + F.coalesce(_long(c), F.lit(0))) % 97))
+    """Remainder by 97 of a text of digits and capitals, which count as 10 to 35."""
 
+    def step(s: Column, c: Column) -> Column:
+        digit = (c >= "0") & (c <= "9")
+        return F.when(c == "", s).when(digit, (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), step)
+
+
+def _day(m: Column) -> Column:
+    """The date that a text says as year, month and day, or as day, month and year; null if it says none."""
+    iso = F.when(m.rlike(r"^[0-9]{2}[./]"), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(m)
+    return F.try_to_date(iso, "yyyy-MM-dd")
+
+
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """Pseudonym of a validated value in its own format; null for a null kind."""
     d = _digits(m)
     one = lambda s, f: F.element_at(F.transform(F.array(s), f), 1)
@@ -126,7 +143,9 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
 
     skip = F.when(F.length(d) == 11, 1).otherwise(0)
     ten = F.substring(d, skip + 1, F.lit(10))
-    phone = F.concat(F.substring(d, F.lit(1), skip), permute_digits(ten, F.lit("phone"), key))
+    code = F.when(F.regexp_extract(d, _CODE, 1) != "", F.length(F.regexp_extract(d, _CODE, 1))).otherwise(3)
+    abroad = F.concat(F.substring(d, F.lit(1), code), permute_digits(F.substring(d, code + 1, F.lit(15)), F.concat(F.lit("phone|"), F.substring(d, F.lit(1), code)), key))
+    phone = F.when(m.rlike(r"^\+[2-9]"), abroad).otherwise(F.concat(F.substring(d, F.lit(1), skip), permute_digits(ten, F.lit("phone"), key)))
 
     area = _long(F.substring(d, 1, 3))
     left = area - 1 - F.when(area > 666, 1).otherwise(0)
@@ -137,22 +156,28 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     at = lambda i: F.try_element_at(o, F.lit(i))
     ip = one(feistel(at(1) * 256 + at(2), at(3) * 256 + at(4), 65536, 65536, F.lit("ip"), key), lambda s: F.concat_ws(".", *[x.cast("string") for x in (F.floor(s.l / 256), s.l % 256, F.floor(s.r / 256), s.r % 256)]))
 
-    ordinal = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    date = one(feistel(F.floor(ordinal / DAYS_R), ordinal % DAYS_R, DAYS_L, DAYS_R, F.lit("date"), key), lambda s: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s.l * DAYS_R + s.r).cast("int")), "yyyy-MM-dd"))
+    ordinal = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date"))
+    form = F.when(m.rlike(r"^[0-9]{2}\."), "dd.MM.yyyy").when(m.rlike("^[0-9]{2}/"), "dd/MM/yyyy").otherwise("yyyy-MM-dd")
+    date = one(feistel(F.floor(ordinal / DAYS_R), ordinal % DAYS_R, DAYS_L, DAYS_R, F.lit("date"), key), lambda s: F.call_function("date_format", F.date_add(F.lit(FIRST_DAY).cast("date"), (s.l * DAYS_R + s.r).cast("int")), form))
 
-    letters = F.concat((F.ascii(F.substring(m, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(m, 2, 1)) - 55).cast("string"))
-    iban = one(permute_digits(F.substring(m, 5, 18), F.lit("iban"), key), lambda p: F.concat(F.substring(m, 1, 2), _pad(98 - _mod97(F.concat(p, letters, F.lit("00"))), 2), p))
+    tight = F.regexp_replace(m, " ", "")
+    own = F.substring(tight, 5, 30)
+    layout = F.concat_ws("|", F.lit("iban"), F.substring(m, 1, 2), F.regexp_replace(own, "[0-9]", "0"))
+    made = permute_digits(_digits(own), layout, key)
+    check = lambda p: _pad(98 - _mod97(F.concat(_refill(own, p), F.substring(m, 1, 2), F.lit("00"))), 2)
+    iban = one(made, lambda p: _refill(m, F.concat(check(p), p)))
 
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@pseudonym.invalid"))
     return F.when(kind == "email", email).when(kind == "card", _refill(m, card)).when(kind == "phone", _refill(m, phone)).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "date", date).when(kind == "iban", iban)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
     """Every row with the personal data in ``text_col`` replaced, and (with ``counts``) a column ``n_<kind>`` for each kind.
 
     All rows and other columns stay; columns named like a new one are replaced. A null text stays null with counts
     of 0; an empty text stays empty. Equal values get equal pseudonyms in every row and document. A number that is
-    not valid in its format (a wrong check digit, a month 13) is left alone, as is all text outside the matches.
+    not valid in its format (a wrong check digit, a month 13) is left alone, as is all text outside the matches. A text of
+    any length is handled whole; the key is the caller's, from a secret store.
     """
     new = {f"n_{k}" for k in KINDS} if counts else set()
     kept = [c for c in docs.columns if c not in new or c == text_col]

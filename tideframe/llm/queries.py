@@ -14,6 +14,8 @@ from tideframe.llm import decontam, jaccard, langid, mixing, pii, repeats, secre
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The mixture: weights by path in the tree, part of all tokens, epochs at most.
 MIX_WEIGHTS = {("web",): 0.4, ("forum",): 0.2, ("books",): 0.25, ("code",): 0.15, **{(d, x): w for d in ("web", "forum", "books", "code") for x, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))}}
+#: Key of the pseudonyms over the test tables; real ones come from a secret store.
+DEMO_KEY = "tideframe-demo-key"
 MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
 
 
@@ -45,7 +47,9 @@ def mix_levels() -> list[tuple[str, Column]]:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, #: Key of the pseudonyms over the test tables; real ones come from a secret store.
+DEMO_KEY = "tideframe-demo-key"
+MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +76,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
 
 
 def _op3_sql() -> str:

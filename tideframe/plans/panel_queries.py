@@ -166,12 +166,13 @@ def _vintages(spark, sf_dir) -> DataFrame:
 
 
 def _asof_sql(lag: int) -> str:
+    best = "MAX(CASE WHEN r IS NOT NULL THEN {'r': r, 'val': val, 'ev': ev, 'kn': kn} END) OVER (PARTITION BY entity ORDER BY t, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return _sd(
-        f"""SELECT s.entity, s.time, v.val, v.ev, v.kn FROM s LEFT JOIN v ON v.entity = s.entity AND v.r = s.r""",
-        f"""{_VINT.replace('AS val FROM', 'AS val, CAST(0 AS BIGINT) AS z FROM')}, v0 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY ev, kn) AS r, GREATEST(kn + {lag}, ev) AS t FROM v),
-        u AS (SELECT entity, t, 0 AS k, r FROM v0 UNION ALL SELECT entity, time, 1, NULL FROM sd),
-        b AS (SELECT entity, t AS time, k, MAX(r) OVER (PARTITION BY entity ORDER BY t, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM u), s AS (SELECT entity, time, r FROM b WHERE k = 1)""",
-    ).replace("LEFT JOIN v ON", "LEFT JOIN v0 v ON")
+        "SELECT entity, t AS time, g.val AS val, g.ev AS ev, g.kn AS kn FROM b WHERE k = 1",
+        f"""{_VINT}, v0 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY ev, kn) AS r, GREATEST(kn + {lag}, ev) AS t FROM v),
+        u AS (SELECT entity, t, 0 AS k, r, val, ev, kn FROM v0 UNION ALL SELECT entity, time, 1, NULL, NULL, NULL, NULL FROM sd),
+        b AS (SELECT entity, t, k, {best} AS g FROM u)""",
+    )
 
 
 def _asof(name: str, lag: int) -> None:

@@ -283,8 +283,20 @@ def test_decontamination(spark):
     assert got[7][0]
     assert not any(got[i][0] for i in (3, 4, 5, 8))
     # 40 may not be 75 in one place and 40 in another: the windows with that slot are no evidence
-    table = decontam.Table.build([(11, ITEM)])
-    assert sum(x[1] for x in table.match(broken)) < sum(x[1] for x in table.match(changed))
+    covered = {text: helpers.contaminating(text, [(11, ITEM)]) for text in (broken, changed)}
+    assert covered[changed][0][1] > (covered[broken] or [(0, 0)])[0][1]
+
+
+def test_decontamination_equals_brute_force(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    listed = [(r.item_id, r.text) for r in items.collect()]
+    changed = [(10_000 + i, "Before it. " + "".join(str(7 * int(c) % 10) if c.isdigit() else c for c in t) + " And after.") for i, t in listed]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + changed + [(20_000, "word " * 60_000 + listed[0][1] + " word" * 60_000), (None, listed[0][1])]
+    got = decontam.flag(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    want = sorted(((i, helpers.contaminating(t, listed)) for i, t in rows), key=str)
+    have = sorted(((r.doc_id, [(i, None, None) for i in r.item_ids], r.covered_words, r.reparameterised) for r in got), key=str)
+    assert [(i, [x[0] for x in h], c, o) for i, h, c, o in have] == [(i, sorted({x[0] for x in w}), max((x[1] for x in w), default=0), any(x[2] for x in w)) for i, w in want]
+    assert sum(bool(w) for _, w in want) > len(listed)
 
 
 def test_decontamination_edges(spark, docs, empty):

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -220,6 +220,36 @@ def powers(n: int):
     return _POWERS
 
 
+#: Bits of a bitmap: a fixed 4 MB, whatever the input.
+BITMAP = 1 << 25
+
+
+def bitmap_of(bits: DataFrame, col: str = "bit"):
+    """A bitmap of BITMAP bits (a fixed 4 MB) with those of the column set, put together on the executors."""
+    import numpy as np
+
+    one = F.col(col) + 1  # Spark numbers from one
+    rows = bits.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("b")).collect()
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for r in rows:
+        at = (r.k - 1) * 4096
+        got = np.frombuffer(r.b, np.uint8)[: max(0, min(4096, len(out) - at))]
+        out[at : at + len(got)] |= got
+    return out
+
+
+def in_bitmap(bitmap, keys):
+    """Whether each of the unsigned keys has its lowest bits set in the bitmap."""
+    import numpy as np
+
+    k = (keys & np.uint64(BITMAP - 1)).astype(np.int64)
+    return (bitmap[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
+
+
+def low_bits(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(BITMAP - 1))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished stages: it does so only when the driver's JVM collects its garbage."""
     import gc

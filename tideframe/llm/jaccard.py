@@ -29,14 +29,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import components, map_texts, mix64, powers, release, text_slices, written
+from tideframe.llm.common import bitmap_of, components, in_bitmap, low_bits, map_texts, mix64, powers, release, text_slices, written
 
 WORDS, PERCENT = 5, 80
 #: Classes of a page on average; queries of a page that one task streams; parts that the classes of a min-hash are dealt to.
 PAGE, SALT, STAR_SALT = 64, 256, 8
-#: Counters of the sketch and the part of it that is one row; bits of a bitmap.
+#: Counters of the sketch and the part of it that is one row.
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 16
-BITMAP = 1 << 25
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -186,29 +185,8 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _bitmap(bits: DataFrame, col: str = "bit") -> np.ndarray:
-    """A bitmap of BITMAP bits (a fixed 4 MB) with those of the column set, put together on the executors."""
-    one = F.col(col) + 1  # Spark numbers from one
-    rows = bits.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("b")).collect()
-    out = np.zeros(BITMAP // 8, dtype=np.uint8)
-    for r in rows:
-        at = (r.k - 1) * 4096
-        got = np.frombuffer(r.b, np.uint8)[: max(0, min(4096, len(out) - at))]
-        out[at : at + len(got)] |= got
-    return out
-
-
-def _in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    k = (keys & np.uint64(BITMAP - 1)).astype(np.int64)
-    return (bitmap[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
-
-
-def _low_bits(c: Column) -> Column:
-    return c.bitwiseAND(F.lit(BITMAP - 1))
-
-
 def _key_bits(cls: Column, doc: Column) -> Column:
-    return _low_bits(cls.bitwiseXOR(doc).bitwiseXOR(F.shiftleft(doc, 13)))
+    return low_bits(cls.bitwiseXOR(doc).bitwiseXOR(F.shiftleft(doc, 13)))
 
 
 def _sets(docs: DataFrame, need: DataFrame, salt: int) -> DataFrame:
@@ -217,7 +195,7 @@ def _sets(docs: DataFrame, need: DataFrame, salt: int) -> DataFrame:
     A few others pass, and repeated rows come repeatedly: the join on (cls, doc) that follows sorts that out.
     """
     context = docs.sparkSession.sparkContext
-    bitmap = context.broadcast(_bitmap(need.select(_key_bits(F.col("cls"), F.col("doc")).alias("bit"))))
+    bitmap = context.broadcast(bitmap_of(need.select(_key_bits(F.col("cls"), F.col("doc")).alias("bit"))))
 
     def run(batches):
         import pyarrow as pa
@@ -227,7 +205,7 @@ def _sets(docs: DataFrame, need: DataFrame, salt: int) -> DataFrame:
                 sets = shingles_of(part.column("text").to_pylist())
                 ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
                 cls = np.array([fingerprint(s, salt) for s in sets], dtype=np.int64)
-                hit = np.flatnonzero(_in_bitmap(bitmap.value, (cls ^ ids ^ (ids << 13)).view(np.uint64)))
+                hit = np.flatnonzero(in_bitmap(bitmap.value, (cls ^ ids ^ (ids << 13)).view(np.uint64)))
                 hit = [i for i in hit.tolist() if len(sets[i])]
                 if hit:
                     yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(ids[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], ["cls", "doc", "set"])
@@ -306,7 +284,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, only: np.ndarray | None, salt
                     p = prefix(s, sketch.value)
                     at = np.arange(len(p), dtype=np.int32)
                     if keep.value is not None:
-                        at = at[_in_bitmap(keep.value, p >> np.uint64(20))]
+                        at = at[in_bitmap(keep.value, p >> np.uint64(20))]
                         p = p[at]
                     tokens.append(p)
                     places.append(at)
@@ -364,7 +342,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     release(docs.sparkSession)
 
     shared = _prefixes(live, counts, None, salt).groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
-    only = _bitmap(shared.select(_low_bits(F.shiftrightunsigned("token", 20)).alias("bit")))
+    only = bitmap_of(shared.select(low_bits(F.shiftrightunsigned("token", 20)).alias("bit")))
     release(docs.sparkSession)
     group = classes.select("cls", "n").join(groups.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("grp"))
     group = written(group, "jaccard-groups")

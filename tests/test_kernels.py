@@ -119,3 +119,21 @@ def test_rolling_and_per_entity(spark):
     assert got[18] is None and got[30] == pytest.approx(kernels.xi(X[11:31], X[11:31] ** 2))
     one = {r.e: r.pearson for r in series.dependence(df, "e", ["t"], "x", "y", ["pearson"]).collect()}
     assert one["a"] == pytest.approx(kernels.pearson(X[:60], X[:60] ** 2)) and one["b"] is None
+
+
+def test_kshape_labels_every_entity(spark):
+    import numpy as np
+
+    from tideframe.operators import series
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for e in range(24):
+        n = 90 if e % 3 else 20  # some are shorter than the points
+        t = np.linspace(0, 1, n)
+        y = np.sin(2 * np.pi * 2 * t) if e % 2 else np.where(t < 0.5, t, -t)
+        rows += [(e, i, float(v)) for i, v in enumerate(y + rng.normal(0, 0.05, n))]
+    rows += [(100, i, 1.0) for i in range(9)] + [(101, 0, None)]
+    got = {r.entity: r.cluster for r in series.kshape(spark.createDataFrame(rows, "entity long, time long, x double"), "entity", "time", "x", 2, 32).collect()}
+    assert got[100] is None and got[101] is None and len(got) == 26
+    assert len({got[e] for e in range(0, 24, 2)}) == 1 and len({got[e] for e in range(1, 24, 2)}) == 1 and got[0] != got[1]

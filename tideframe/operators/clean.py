@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.core import clean, div
+from tideframe.sources.tables import checkpointed
 
 
 def normalize_text(c: Column, casefold: bool = True, punctuation: bool = True) -> Column:
@@ -161,16 +162,138 @@ def survivors(df: DataFrame, group: str, order: str, rules: Mapping[str, str]) -
     return df.groupBy(group).agg(*[SURVIVORS[r](c, order).alias(c) for c, r in rules.items()])
 
 
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """(id, component): the smallest id that each node of the edges reaches. Loops and repeated edges do no harm; null ends are dropped.
+
+    Each round links every node's larger neighbours to its smallest one and then cuts each node down to its smallest neighbour;
+    both are pre-aggregated minima and joins on the node. Lineage is cut by reliable checkpoints.
+    """
+    e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    before = None
+    for _ in range(rounds):
+        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == before:
+            roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
+        before = now
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        e = checkpointed(small.where("u > v").distinct())
+    raise RuntimeError(f"components did not settle within {rounds} rounds")
+
+
+def _prefix_tokens(words: Column, threshold: float) -> Column:
+    """The first tokens, in one order for all sets, of which two sets of that Jaccard similarity share one at least."""
+    n = F.size(words)
+    order = F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    return F.slice(F.transform(order, lambda x: x.w), F.lit(1), (n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
+
+
+def _pieces(n: Column, threshold: float, probe: bool) -> Column:
+    """Keys of the partition join of edit distance: a longer text of length L is within k = floor((1 - threshold) * L) edits of
+    a shorter one only if it has one of the shorter one's k + 1 pieces in it, moved by k places at most."""
+    size = F.length(n)
+    edits = lambda length: F.floor((1 - threshold) * length + 1e-9).cast("int")
+    cut = lambda i, length, k: F.floor(i * length / (k + 1)).cast("int")
+
+    def key(longer: Column, shorter: Column, i: Column, shift: Column | None) -> Column:
+        k = edits(longer)
+        start, end = cut(i, shorter, k), cut(i + 1, shorter, k)
+        at = start if shift is None else start + shift
+        inside = F.lit(True) if shift is None else (at >= 0) & (at + end - start <= size)
+        return F.when(inside, F.xxhash64(longer, shorter, i, F.substring(n, at + 1, end - start)))
+
+    if not probe:
+        lengths = F.sequence(size, F.greatest(size, F.floor(size / threshold + 1e-9).cast("int")))
+        made = F.transform(lengths, lambda longer: F.transform(F.sequence(F.lit(0), edits(longer)), lambda i: key(longer, size, i, None)))
+        return F.array_distinct(F.flatten(made))
+    k = edits(size)
+    shorter = F.sequence(F.greatest(size - k, F.lit(0)), size)
+    shifts = F.sequence(-k, k)
+    made = F.transform(shorter, lambda s: F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: F.transform(shifts, lambda d: key(size, s, i, d)))))
+    return F.array_distinct(F.array_compact(F.flatten(made)))
+
+
 def resolve_entities(df: DataFrame, id_col: str, name: str, threshold: float = 0.85, block: int = 3) -> DataFrame:
-    """Pairs of ids whose names are alike, among those that share the start of a normalised word."""
-    words = df.select(F.col(id_col).alias("id"), normalize_text(F.col(name)).alias("n"))
-    blocks = words.select("id", "n", F.explode(F.array_distinct(F.transform(F.split("n", " "), lambda w: F.substring(w, 1, block)))).alias("k"))
-    # a crowded block is compared with its neighbours in name order, not with all its members
-    w = Window.partitionBy("k").orderBy("n", "id")
-    near = [F.struct(F.lag("id", i).over(w).alias("a"), F.lag("n", i).over(w).alias("na")) for i in range(1, 6)]
-    pairs = blocks.select("id", "n", F.array(*near).alias("x")).select("id", "n", F.explode("x").alias("x")).where("x.a is not null and x.a <> id")
-    sim = F.greatest(levenshtein_similarity(F.col("n"), F.col("x.na")), token_jaccard(F.col("n"), F.col("x.na")))
-    return pairs.select(F.least("id", "x.a").alias("a"), F.greatest("id", "x.a").alias("b"), sim.alias("score")).where(F.col("score") >= threshold).distinct()
+    """All pairs (a, b) of ids whose names are alike by edit distance or common words, among those that share the start of a word.
+
+    Equal normalised names are one class: each copy is linked to the smallest id of its class, and the classes are compared by
+    these. Candidates come from two exact filters (rare token prefixes; pieces of the partition join), so no alike pair of classes
+    is lost and no block is compared all with all. Null names and ids take no part; ``threshold`` lies above 0.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie above 0 and be 1 at most")
+    held = df.select(F.col(id_col).alias("id"), normalize_text(F.col(name)).alias("n")).where("id is not null and n is not null")
+    least = held.groupBy("n").agg(F.min("id").alias("a"))
+    copies = held.join(least, "n").where("a < id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("score")).distinct()
+    starts = F.array_distinct(F.transform(F.split("n", " "), lambda w: F.substring(w, 1, block)))
+    classes = least.select(F.col("a").alias("id"), "n", starts.alias("k"), F.array_distinct(F.split("n", " ")).alias("w"))
+    keyed = lambda keys: classes.select("id", "n", "k", F.explode(keys).alias("x"))
+    side = lambda rows, tag: rows.select(F.struct("id", "n", "k").alias(tag), "x")
+    words = keyed(F.transform(_prefix_tokens(F.col("w"), threshold), lambda t: F.xxhash64(F.lit("w"), t)))
+    pairs = bucket_pairs(side(words, "p"), side(words, "q"), "x").unionByName(bucket_pairs(side(keyed(_pieces(F.col("n"), threshold, False)), "p"), side(keyed(_pieces(F.col("n"), threshold, True)), "q"), "x"))
+    pairs = pairs.where((F.col("p.n") != F.col("q.n")) & F.arrays_overlap("p.k", "q.k"))
+    sim = F.greatest(levenshtein_similarity(F.col("p.n"), F.col("q.n")), token_jaccard(F.col("p.n"), F.col("q.n")))
+    alike = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), sim.alias("score")).where(F.col("score") >= threshold).distinct()
+    return alike.unionByName(copies)
+
+
+def canonical_ids(df: DataFrame, id_col: str, name: str, threshold: float = 0.85, block: int = 3) -> DataFrame:
+    """Every row of ``df`` with ``canonical_id``, the smallest id of its component of :func:`resolve_entities`; its own id if it is alone."""
+    found = connected_components(resolve_entities(df, id_col, name, threshold, block).select("a", "b"))
+    joined = df.join(found.select(F.col("id").alias("__id"), F.col("component").alias("__c")), F.col(id_col) == F.col("__id"), "left")
+    return joined.select(*df.columns, F.coalesce("__c", F.col(id_col)).alias("canonical_id"))
+
+
+def fingerprint_clusters(df: DataFrame, id_col: str, name: str, method: str = "fingerprint") -> DataFrame:
+    """(key, canonical, n_ids, n_rows) of each group of names with one fingerprint; the canonical spelling is the most frequent, then the least."""
+    key = fingerprint(F.col(name)) if method == "fingerprint" else ngram_fingerprint(F.col(name))
+    rows = df.where(F.col(name).isNotNull()).select(key.alias("key"), F.col(name).alias("name"), F.col(id_col).alias("id"))
+    spelt = rows.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"))
+    best = spelt.groupBy("key").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("canonical"), F.sum("n").alias("n_rows"))
+    return best.join(rows.groupBy("key").agg(F.count_distinct("id").alias("n_ids")), "key").select("key", "canonical", "n_ids", "n_rows")
+
+
+def near_duplicate_clusters(df: DataFrame, id_col: str, text: str, threshold: float = 0.8, **options) -> DataFrame:
+    """(id, component) of the ids that :func:`near_duplicates` links."""
+    return connected_components(near_duplicates(df, id_col, text, threshold, **options).select("a", "b"))
+
+
+def straddling_pairs(pairs: DataFrame, split: DataFrame, id_col: str, split_col: str) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different parts of a split, with both parts."""
+    part = lambda end: split.select(F.col(id_col).alias(end), F.col(split_col).alias(f"split_{end}"))
+    return pairs.join(part("a"), "a").join(part("b"), "b").where("split_a <> split_b")
+
+
+def assert_no_straddle(pairs: DataFrame, split: DataFrame, id_col: str, split_col: str) -> None:
+    first = straddling_pairs(pairs, split, id_col, split_col).first()
+    if first is not None:
+        raise ValueError(f"near duplicates lie on both sides of the split: {first.asDict()}")
+
+
+def straddling_clusters(components: DataFrame, split: DataFrame, id_col: str, split_col: str) -> DataFrame:
+    """(component, splits) of the components with members in more than one part."""
+    rows = components.join(split.select(F.col(id_col).alias("id"), F.col(split_col).alias("s")), "id")
+    return rows.groupBy("component").agg(F.array_sort(F.collect_set("s")).alias("splits")).where(F.size("splits") > 1)
+
+
+def purge_near_duplicates(train: DataFrame, test: DataFrame, id_col: str, text: str, threshold: float = 0.8, **options) -> DataFrame:
+    """The rows of ``train`` whose text is linked to no text of ``test``, whatever is linked within either."""
+    tag = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), F.col(id_col).alias("id")).alias("id"), F.col(text).alias("text"))
+    pairs = near_duplicates(tag(train, 0).unionByName(tag(test, 1)), "id", "text", threshold, **options)
+    found = connected_sides(pairs)
+    return train.join(found.withColumnRenamed("id", id_col), id_col, "left_anti").select(*train.columns)
+
+
+def connected_sides(pairs: DataFrame) -> DataFrame:
+    """Ids of side 0 linked with side 1 directly, or through a copy of their own text (score 1)."""
+    cross = pairs.where("a.side <> b.side")
+    direct = cross.select(F.col("a.id").alias("id"))
+    copies = pairs.where("a.side = 0 and b.side = 0 and jaccard = 1").select(F.col("a.id").alias("x"), F.col("b.id").alias("id"))
+    return direct.unionByName(copies.join(direct.withColumnRenamed("id", "x"), "x").select("id")).distinct()
 
 
 def outlier_bounds(df: DataFrame, column: str, method: str = "mad", k: float = 3.0, by: Sequence[str] = ()) -> DataFrame:

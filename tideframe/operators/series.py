@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideframe.functions import catch22, kernels
+from tideframe.sources.tables import checkpointed
 
 
 def per_entity(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], f: Callable[..., dict], fields: str) -> DataFrame:
@@ -149,31 +150,72 @@ def rolling_dependence(df: DataFrame, entity: str, time: str, x: str, y: str, wi
     return rolling_apply(df, entity, time, [x, y], window, kernels.DEPENDENCE[name], out)
 
 
-def kshape(df: DataFrame, entity: str, time: str, column: str, k: int, points: int = 64, most: int = 20_000, seed: int = 42) -> DataFrame:
-    """(entity, cluster): entities by the shape of their series, each brought to ``points`` means first.
+def kshape(df: DataFrame, entity: str, time: str, column: str, k: int, points: int = 64, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """(entity, cluster): all entities by the shape of their series, each brought to ``points`` values first.
 
-    Fitting is on the driver over at most ``most`` entities (the smallest hashes); the other ones are labelled on the
-    executors by their nearest centroid.
+    A longer series is averaged over ``points`` stretches, a shorter one is interpolated between its values; one without a value
+    or without variation gets a null cluster. Each round labels the entities on the executors and sums the products of the fitted
+    shapes there; the driver gets k matrices of points x points, whatever the number of entities.
     """
     w = Window.partitionBy(entity).orderBy(time)
     held = df.select(entity, F.col(column).cast("double").alias("x"), (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(entity)).alias("n"))
-    paa = held.groupBy(entity, F.floor(F.col("i") * points / F.col("n")).cast("int").alias("b")).agg(F.avg("x").alias("m"))
-    rows = paa.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("a"), F.count("m").alias("c")).where(F.col("c") == points)
-    rows = rows.select(entity, F.transform("a", lambda s: s.m).alias("a"))
-    sample = rows.orderBy(F.xxhash64(entity), entity).limit(most).select("a").toPandas()
-    if not len(sample):
-        return rows.select(entity, F.lit(None).cast("int").alias("cluster"))
-    centre = kernels.kshape(np.stack(sample.a), k, seed)[1]
+    means = held.groupBy(entity, F.floor(F.col("i") * points / F.col("n")).cast("int").alias("b")).agg(F.avg("x").alias("m")).where("m is not null and not isnan(m)")
+    means = means.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("a"))
+    rows = df.select(entity).distinct().join(means, entity, "left").select(entity, F.transform("a", lambda s: s.b).alias("b"), F.transform("a", lambda s: s.m).alias("m"))
+    rows = checkpointed(rows.select(entity, "b", "m", F.pmod(F.xxhash64(F.lit(seed), entity), F.lit(k)).cast("int").alias("start")))
+
+    def shapes(b, m):
+        """z-scored rows of the series with a shape, and where they are"""
+        ok = np.array([len(y) > 1 if y is not None else False for y in m], dtype=bool)
+        x = np.array([np.interp(np.arange(points), np.asarray(i), np.asarray(y, float)) for i, y, o in zip(b, m, ok, strict=True) if o]).reshape(-1, points)
+        sd = x.std(axis=1)
+        live = np.flatnonzero(ok)[sd > 0]
+        return (x[sd > 0] - x[sd > 0].mean(axis=1, keepdims=True)) / sd[sd > 0, None], live
+
+    def label(z, centre, start):
+        return np.array([min(range(k), key=lambda j: kernels.sbd(centre[j], r)[0]) for r in z], dtype=np.int64) if centre is not None else start
+
+    def grams(centre, fitted):
+        def run(batches):
+            total, count, marks = np.zeros((k, points, points)), np.zeros(k), 0
+            mean = np.zeros((k, points))
+            for batch in batches:
+                z, live = shapes(batch["b"], batch["m"])
+                own = label(z, centre, batch["start"].to_numpy()[live])
+                for j in range(k):
+                    fit = [kernels.sbd(fitted[j], r)[1] if fitted is not None and fitted[j].any() else r for r in z[own == j]]
+                    if fit:
+                        fit = np.stack(fit)
+                        total[j] += fit.T @ fit
+                        mean[j] += fit.sum(axis=0)
+                        count[j] += len(fit)
+            at = np.arange(k * points * points)
+            yield pd.DataFrame({"i": np.concatenate((at, len(at) + np.arange(k * points), len(at) + k * points + np.arange(k))), "v": np.concatenate((total.ravel(), mean.ravel(), count))})
+
+        got = rows.mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # k * (points + 1) ** 2 rows at most
+        flat = np.zeros(k * points * points + k * points + k)
+        flat[got.i.to_numpy()] = got.v.to_numpy()
+        return flat[: k * points * points].reshape(k, points, points), flat[k * points * points : -k].reshape(k, points), flat[-k:]
 
     import pandas as pd
 
-    def nearest(a):
-
-        def one(v):
-            z = np.asarray(v, float) - np.mean(v)
-            z = z / (z.std() or 1)
-            return min(range(k), key=lambda j: kernels.sbd(centre[j], z)[0])
-
-        return pd.Series([one(v) for v in a])
-
-    return rows.select(entity, F.pandas_udf(nearest, "int", F.PandasUDFType.SCALAR)("a").alias("cluster"))
+    centre, inner = None, np.eye(points) - 1 / points
+    for _ in range(rounds):
+        total, mean, count = grams(centre, centre)
+        new = np.zeros((k, points))
+        for j in np.flatnonzero(count):
+            c = np.linalg.eigh(inner @ total[j] @ inner)[1][:, -1]
+            c = c if mean[j] @ c >= 0 else -c
+            new[j] = (c - c.mean()) / (c.std() or 1)
+        settled = centre is not None and np.abs(new - centre).max() < 1e-9
+        centre = new
+        if settled or not count.any():
+            break
+
+    def nearest(b, m):
+        z, live = shapes(b, m)
+        out = pd.Series([None] * len(b), dtype="Int32")
+        out.iloc[live] = label(z, centre, None)
+        return out
+
+    return rows.select(entity, F.pandas_udf(nearest, "int", F.PandasUDFType.SCALAR)("b", "m").alias("cluster"))

@@ -82,3 +82,41 @@ def _fill() -> None:
 
 
 _fill()
+
+
+class FeatureRegistry:
+    """The registered operators as a whole: names are ``namespace.operator``."""
+
+    @staticmethod
+    def all() -> list[FeatureSpec]:
+        return [_SPECS[n] for n in sorted(_SPECS)]
+
+    @staticmethod
+    def namespaces() -> list[str]:
+        return sorted({n.rpartition(".")[0] for n in _SPECS})
+
+    @staticmethod
+    def by_namespace(namespace: str) -> list[FeatureSpec]:
+        return [s for s in FeatureRegistry.all() if s.name.rpartition(".")[0] == namespace]
+
+    @staticmethod
+    def to_records() -> list[dict]:
+        return [{k: v for k, v in vars(s).items() if k != "build"} for s in FeatureRegistry.all()]
+
+    @staticmethod
+    def to_llms_txt() -> str:
+        """The operators as Markdown, a list for each namespace."""
+        lines = []
+        for space in FeatureRegistry.namespaces():
+            lines += [f"## {space or 'general'}", ""]
+            for s in FeatureRegistry.by_namespace(space):
+                promise = ", ".join(x for x, on in (("inside its entity", s.panel_safe), ("never looks ahead", s.leakage_safe)) if on) or "no promise"
+                lines.append(f"- `{s.name}`: {s.input_shape} to {s.output_shape}; {promise}")
+            lines.append("")
+        return "\n".join(lines)
+
+    @staticmethod
+    def clear() -> None:
+        """Back to the operators of the library itself."""
+        _SPECS.clear()
+        _fill()

@@ -20,6 +20,8 @@ from tideframe.llm.common import map_texts, mix64, text_slices
 
 #: Bound of the training sample: documents of each language, and languages (bits of a mask).
 SAMPLE_PER_LANG, MAX_LANGS = 1500, 64
+#: Bytes of text whose n-grams are held at once: some 150 bytes each.
+SLICE = 250_000
 SIZES = (3, 4)
 #: n-grams kept of each language, and the smallest share of the language's n-grams that one must make up.
 KEEP, LEAST_SHARE = 40_000, 4e-6
@@ -133,7 +135,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         import pyarrow as pa
 
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 texts, langs = part.column("text").to_pylist(), np.array(part.column("lang").to_pylist(), dtype=object)
                 h, at, _ = grams_of(texts)
                 for lang in dict.fromkeys(langs):
@@ -157,6 +159,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     """Adds the predicted language and its score to every row; all rows and other columns stay.
 
     A null or empty text, or one without a letter, is ``und`` with score 0. Columns named like the new ones are replaced.
+    A text longer than SLICE is handled whole, by itself.
     """
     from pyspark.sql import types as T
 
@@ -168,7 +171,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
         import pyarrow as pa
 
         for batch in batches:
-            for part in text_slices(batch, text_col):
+            for part in text_slices(batch, text_col, SLICE):
                 langs, scores = shared.value.predict(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, lang_out, score_out])
 

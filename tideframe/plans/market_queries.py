@@ -355,3 +355,31 @@ def elite(spark, sf_dir):
     j = evaluation.joined(actual, predicted, "entity", "time", "x", "p").groupBy("entity").agg(F.avg(F.abs(F.col("__p") - F.col("__a"))).alias("mean"), F.avg(F.abs("__a")).alias("zero"))
     scores = j.select("entity", F.explode(F.create_map(F.lit("mean"), "mean", F.lit("zero"), "zero")).alias("model", "score"))
     return evaluation.elite(scores, "entity", "model", "score", 1).select("entity", "model")
+
+
+# --- clusters of spellings, and checks one by one ---------------------------------------------------------------------------------
+_KEY = r"array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '))), ' ')"
+
+
+@query(
+    "clean_fingerprint_clusters",
+    f"""WITH r AS (SELECT {_KEY} AS key, p_name AS name, p_partkey AS id FROM part WHERE p_name IS NOT NULL), s AS (SELECT key, name, COUNT(*) AS n FROM r GROUP BY 1, 2),
+    b AS (SELECT key, first(name ORDER BY n DESC, name) AS canonical, CAST(SUM(n) AS BIGINT) AS n_rows FROM s GROUP BY 1)
+    SELECT b.key, canonical, n_ids, n_rows FROM b JOIN (SELECT key, COUNT(DISTINCT id) AS n_ids FROM r GROUP BY 1) i ON i.key = b.key""",
+)
+def spellings(spark, sf_dir):
+    return clean.fingerprint_clusters(read(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+@query(
+    "quality_check_gaps",
+    f"""WITH {SQL_SUPPLIER}, g AS (SELECT entity, LAG(time) OVER ({SQL_W}) AS after, time AS before FROM sd)
+    SELECT entity, after, before, CAST(before - after - 1 AS BIGINT) AS missing FROM g WHERE before - after > 1""",
+)
+def missing_steps(spark, sf_dir):
+    return quality.check_gaps(supplier_day(spark, sf_dir), "entity", "time", 1).offending
+
+
+@query("quality_check_min_obs", f"WITH {SQL_SUPPLIER} SELECT entity, COUNT(DISTINCT time) AS n_obs FROM sd GROUP BY 1 HAVING COUNT(DISTINCT time) < 500")
+def few_times(spark, sf_dir):
+    return quality.check_min_obs(supplier_day(spark, sf_dir), "entity", "time", 500).offending

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from tideframe.plans import catalog, feature_queries, kernel_queries, market_queries, panel_queries, rolling_queries, scoring_queries  # noqa: E402, F401
+from tideframe.plans import catalog, feature_queries, inference_queries, kernel_queries, market_queries, panel_queries, rolling_queries, scoring_queries  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions import inference as kernels
 from tideframe.operators import inference as inf
+from tideframe.operators import splits
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +103,31 @@ def test_wasserstein_and_gamma(spark):
     x = np.column_stack((np.ones(10), r[4:14], np.sign(e[4:14]) * v[4:14]))
     assert got[14].gamma == pytest.approx(np.linalg.lstsq(x, e[5:15], rcond=None)[0][2])
     assert got[9].gamma is None and got[10].gamma is not None
+
+
+def test_unit_root_and_efficiency(panel, table):
+    pp, mz = results(inf.phillips_perron(panel, "e", "t", "y", 4)), results(inf.mincer_zarnowitz_test(panel, "e", "y", "f"))
+    for e, m in table.items():
+        y, f = m[:, 0], m[:, 1]
+        x = np.column_stack((y[:-1], np.ones(len(y) - 1)))
+        b = np.linalg.lstsq(x, y[1:], rcond=None)[0]
+        u, n = y[1:] - x @ b, len(y) - 1
+        g, lam, s = u @ u / n, kernels.newey_west(u, 4), math.sqrt(u @ u / (n - 2))
+        se = s * math.sqrt(np.linalg.inv(x.T @ x)[0, 0])
+        assert pp[e].statistic == pytest.approx(math.sqrt(g / lam) * (b[0] - 1) / se - (lam - g) * n * se / (2 * math.sqrt(lam) * s))
+        want = kernels.mincer_zarnowitz(y, f)
+        assert (mz[e].statistic, mz[e].pvalue) == pytest.approx((want.statistic, want.pvalue))
+    assert mz["flat"].statistic is None and pp["flat"].statistic is None
+
+
+def test_splits(spark):
+    df = spark.createDataFrame([("a", t) for t in range(10)] + [("b", 0), ("b", 1)], "e string, t long")
+    test = splits.train_test_split(df, "e", "t", 0.25).where("is_test").collect()
+    assert sorted((r.e, r.t) for r in test) == [("a", 7), ("a", 8), ("a", 9), ("b", 1)]
+    got = splits.sliding_window_split(df, "e", "t", 2, 2, 3, 4).collect()
+    side = lambda s, flag: sorted(r.t for r in got if (r.e, r.split, r.is_test) == ("a", s, flag))
+    assert (side(1, False), side(1, True)) == ([1, 2, 3, 4], [5, 6])
+    assert (side(2, False), side(2, True)) == ([4, 5, 6, 7], [8, 9])
+    assert sorted((r.split, r.t, r.is_test) for r in got if r.e == "b") == [(2, 0, True), (2, 1, True)]
+    wide = splits.expanding_window_split(df, "e", "t", 2, 2, 3).where("e = 'a' and split = 2 and not is_test").count()
+    assert wide == 8

@@ -277,3 +277,55 @@ def pastor_stambaugh_gamma(df: DataFrame, entity: str, time: str, ret: str, mark
     det = F.col("__aa") * F.col("__bb") - F.col("__ab") * F.col("__ab")
     gamma = F.when((F.col("__n") >= n) & (det > 1e-12 * F.col("__aa") * F.col("__bb")), (F.col("__aa") * F.col("__by") - F.col("__ab") * F.col("__ay")) / F.when(det > 0, det))
     return rows.withColumn(out, gamma).drop(*[c for c in rows.columns if c.startswith("__")])
+
+
+def phillips_perron(df: DataFrame, entity: str, time, column: str, lags: int, least: int = 8) -> DataFrame:
+    """(entity, n, rho, statistic): Z_tau of a unit root, with a constant; null with fewer than ``least`` values."""
+    order = [time] if isinstance(time, str) else list(time)
+    w = Window.partitionBy(entity)
+    rows = df.select(entity, *order, clean(F.col(column)).alias("__y")).where("__y is not null")
+    rows = rows.withColumn("__l", F.lag("__y").over(w.orderBy(*order))).where("__l is not null")
+    rho = div(F.covar_pop("__y", "__l").over(w), F.var_pop("__l").over(w))
+    rows = rows.withColumns({"__rho": rho, "__my": F.avg("__y").over(w), "__ml": F.avg("__l").over(w)})
+    rows = rows.withColumn("__u", F.col("__y") - F.col("__my") - F.col("__rho") * (F.col("__l") - F.col("__ml")))
+    fit = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.first("__rho").alias("rho"), F.avg(F.col("__u") * F.col("__u")).alias("__g"), F.var_pop("__l").alias("__v"))
+    out = fit.join(newey_west_variance(rows, entity, order, "__u", lags).drop("n"), entity, "left")
+    n, g, positive = F.col("n"), F.col("__g"), lambda c: F.when(c > 1e-24, c)
+    s = F.sqrt(positive(g) * n / F.when(n > 2, n - 2))
+    se = s / F.sqrt(positive(n * F.col("__v")))
+    long = positive(F.col("variance"))
+    stat = F.sqrt(g / long) * (F.col("rho") - 1) / se - (long - g) * n * se / (2 * F.sqrt(long) * s)
+    return out.select(entity, "n", "rho", F.when(n + 1 >= least, stat).alias("statistic"))
+
+
+def mincer_zarnowitz_test(df: DataFrame, entity: str, y: str, forecast: str) -> DataFrame:
+    """(entity, n, slope, statistic, pvalue): joint test of intercept 0 and slope 1 with errors robust to changing variance."""
+    w = Window.partitionBy(entity)
+    rows = df.select(entity, clean(F.col(y)).alias("__y"), clean(F.col(forecast)).alias("__f")).where("__y is not null and __f is not null")
+    rows = rows.withColumns({"__slope": div(F.covar_pop("__y", "__f").over(w), F.var_pop("__f").over(w)), "__my": F.avg("__y").over(w), "__mf": F.avg("__f").over(w)})
+    z = F.col("__f") - F.col("__mf")  # in terms of the centred forecast the two regressors are orthogonal
+    u = F.col("__y") - F.col("__my") - F.col("__slope") * z
+    s = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.first("__slope").alias("slope"), F.first("__my").alias("__my"), F.first("__mf").alias("__mf"), F.sum(z * z).alias("__zz"), F.sum(u * u).alias("__s0"), F.sum(u * u * z).alias("__s1"), F.sum(u * u * z * z).alias("__s2"))
+    n, zz = F.col("n"), F.col("__zz")
+    va, vab, vb = F.col("__s0") / (n * n), div(F.col("__s1"), n * zz), div(F.col("__s2"), zz * zz)
+    a, b = F.col("__my") - F.col("__mf"), F.col("slope") - 1  # the hypothesis: mean of y is that of f, slope is 1
+    det = va * vb - vab * vab
+    out = s.withColumn("statistic", (vb * a * a - 2 * vab * a * b + va * b * b) / F.when(det > 1e-12 * va * vb, det))
+    return out.select(entity, "n", "slope", "statistic").withColumn("pvalue", F.exp(-F.col("statistic") / 2))
+
+
+def decile_monotonicity(df: DataFrame, time: str, signal: str, target: str, bins: int = 10) -> DataFrame:
+    """One row, ``monotonicity``: rank correlation of the number of a bin with the mean over dates of the bin's mean target."""
+    rows = df.select(time, clean(F.col(signal)).alias("__s"), clean(F.col(target)).alias("__t")).where("__s is not null and __t is not null")
+    n = F.count(F.lit(1)).over(Window.partitionBy(time))
+    rank = average_rank(F.col("__s"), [F.col(time)])
+    rows = rows.withColumn("__b", F.least(F.floor((rank - 1) * bins / n), F.lit(bins - 1)))
+    each = rows.groupBy(time, "__b").agg(F.avg("__t").alias("__m")).groupBy("__b").agg(F.avg("__m").alias("__m"))  # at most one row per bin
+    each = each.withColumns({"__x": F.row_number().over(Window.orderBy("__b")), "__y": average_rank(F.col("__m"), [F.lit(1)])})
+    return each.agg(div(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y")).alias("monotonicity"))
+
+
+def devolatilise(df: DataFrame, entity: str, time: str, column: str, n: int, out: str = "scaled") -> DataFrame:
+    """The value over the standard deviation of the n rows before it; null where one of these is missing or they are equal."""
+    x, w = clean(F.col(column)), Window.partitionBy(entity).orderBy(time).rowsBetween(-n, -1)
+    return df.withColumn(out, F.when(F.count(x).over(w) >= n, div(x, F.stddev_samp(x).over(w))))

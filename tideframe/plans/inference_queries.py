@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideframe.operators import inference as inf
+from tideframe.operators import splits
 from tideframe.plans.catalog import query
 from tideframe.plans.panels import SQL_SUPPLIER, SQL_W, W, r6, supplier_day
 
@@ -215,3 +216,50 @@ def pastor_stambaugh(spark, sf_dir):
     df = supplier_day(spark, sf_dir).withColumn("r", F.ln(F.col("x") / F.lag("x").over(W())))
     df = df.withColumn("m", F.avg("r").over(Window.partitionBy("time")))
     return inf.pastor_stambaugh_gamma(df, "entity", "time", "r", "m", "y", 21, 0.01).select(*KEYS, F.round("gamma", 5).alias("gamma"))
+
+
+@query("econ_phillips_perron", f"""WITH {SQL_SUPPLIER}, a AS (SELECT entity, time, x AS y, LAG(x) OVER ({SQL_W}) AS l FROM sd), b AS (SELECT * FROM a WHERE l IS NOT NULL),
+r AS (SELECT *, COVAR_POP(y, l) OVER e / NULLIF(VAR_POP(l) OVER e, 0) AS rho, AVG(y) OVER e AS my, AVG(l) OVER e AS ml FROM b WINDOW e AS (PARTITION BY entity)), v AS (SELECT entity, time, l, rho, y - my - rho * (l - ml) AS d FROM r), {_lrv('v', 4)},
+g AS (SELECT entity, COUNT(*) AS n, ANY_VALUE(rho) AS rho, AVG(d * d) AS g, VAR_POP(l) AS v FROM v GROUP BY 1), s AS (SELECT g.entity, g.n, rho, g, variance AS lam, SQRT(g * g.n / CASE WHEN g.n > 2 THEN g.n - 2 END) AS s, SQRT(g * g.n / CASE WHEN g.n > 2 THEN g.n - 2 END) / SQRT(g.n * v) AS se FROM g LEFT JOIN lrv ON g.entity = lrv.entity)
+SELECT entity, n, round(rho, 5) AS rho, round(CASE WHEN n >= 7 THEN SQRT(g / lam) * (rho - 1) / se - (lam - g) * n * se / (2 * SQRT(lam) * s) END, 5) AS statistic FROM s""")
+def phillips_perron(spark, sf_dir):
+    return _rounded(inf.phillips_perron(supplier_day(spark, sf_dir), "entity", "time", "x", 4), "entity", "n")
+
+
+@query("infer_mincer_zarnowitz", f"""WITH {_F}, a AS (SELECT entity, x, COVAR_POP(x, p) OVER e / NULLIF(VAR_POP(p) OVER e, 0) AS slope, AVG(x) OVER e AS my, AVG(p) OVER e AS mf, p - AVG(p) OVER e AS z FROM f WINDOW e AS (PARTITION BY entity)), b AS (SELECT *, x - my - slope * z AS u FROM a),
+s AS (SELECT entity, COUNT(*) AS n, ANY_VALUE(slope) AS slope, ANY_VALUE(my) - ANY_VALUE(mf) AS a, SUM(u * u) / COUNT(*) / COUNT(*) AS va, SUM(u * u * z) / (COUNT(*) * SUM(z * z)) AS vab, SUM(u * u * z * z) / (SUM(z * z) * SUM(z * z)) AS vb FROM b GROUP BY 1),
+w AS (SELECT entity, n, slope, (vb * a * a - 2 * vab * a * (slope - 1) + va * (slope - 1) * (slope - 1)) / (va * vb - vab * vab) AS w FROM s) SELECT entity, n, round(slope, 5) AS slope, round(w, 5) AS statistic, round(EXP(-w / 2), 5) AS pvalue FROM w""")
+def mincer_zarnowitz(spark, sf_dir):
+    return _rounded(inf.mincer_zarnowitz_test(_forecasts(spark, sf_dir), "entity", "x", "p"), "entity", "n")
+
+
+@query("factor_decile_monotonicity", f"""WITH {_F}, r AS (SELECT time, x, LEAST(FLOOR((RANK() OVER (PARTITION BY time ORDER BY p) + (COUNT(*) OVER (PARTITION BY time, p) - 1) / 2.0::DOUBLE - 1) * 10 / COUNT(*) OVER (PARTITION BY time)), 9) AS b FROM f),
+m AS (SELECT b, AVG(m) AS m FROM (SELECT time, b, AVG(x) AS m FROM r GROUP BY 1, 2) GROUP BY 1), k AS (SELECT ROW_NUMBER() OVER (ORDER BY b) AS x, RANK() OVER (ORDER BY m) AS y FROM m) SELECT round(CORR(x, y), 6) AS monotonicity FROM k""")
+def decile_monotonicity(spark, sf_dir):
+    return inf.decile_monotonicity(_forecasts(spark, sf_dir), "time", "p", "x").select(F.round("monotonicity", 6).alias("monotonicity"))
+
+
+@query("depend_devolatilise", f"WITH {SQL_SUPPLIER} SELECT entity, time, round(CASE WHEN COUNT(x) OVER w >= 20 THEN x / NULLIF(STDDEV_SAMP(x) OVER w, 0) END, 6) AS scaled FROM sd WINDOW w AS ({SQL_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
+def devolatilise(spark, sf_dir):
+    return inf.devolatilise(supplier_day(spark, sf_dir), "entity", "time", "x", 20).select(*KEYS, r6(F.col("scaled")).alias("scaled"))
+
+
+_N = f"{SQL_SUPPLIER}, a AS (SELECT entity, time, ROW_NUMBER() OVER ({SQL_W}) - 1 AS i, COUNT(*) OVER (PARTITION BY entity) AS n FROM sd)"
+
+
+@query("cv_train_test_split", f"WITH {_N} SELECT entity, time, i >= FLOOR(n * 0.75::DOUBLE) AS is_test FROM a")
+def train_test(spark, sf_dir):
+    return splits.train_test_split(supplier_day(spark, sf_dir), "entity", "time", 0.25).select(*KEYS, "is_test")
+
+
+_SPLIT = f"WITH {_N}, s AS (SELECT a.*, CAST(g.s AS INTEGER) AS split, n - 7 - (3 - g.s) * 5 AS b FROM a, generate_series(1, 3) g(s)) SELECT entity, time, split, i >= b AS is_test FROM s WHERE b >= 0 AND i < b + 7"
+
+
+@query("cv_expanding_window_split", _SPLIT)
+def expanding(spark, sf_dir):
+    return splits.expanding_window_split(supplier_day(spark, sf_dir), "entity", "time", 7, 3, 5).select(*KEYS, "split", "is_test")
+
+
+@query("cv_sliding_window_split", f"{_SPLIT} AND i >= b - 30")
+def sliding(spark, sf_dir):
+    return splits.sliding_window_split(supplier_day(spark, sf_dir), "entity", "time", 7, 3, 5, 30).select(*KEYS, "split", "is_test")

@@ -16,10 +16,14 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.llm.common import written
+
 #: Ids in a posting block: id div BLOCK names the block, so that a posting never holds more ids than this.
 BLOCK = 4096
 #: Limits of the query derivation; beyond them a query gets weaker, never wrong.
 MAX_STRINGS, MAX_CLASS, MAX_ALTERNATIVES = 64, 4, 64
+#: Up to so many candidates (about 100 bytes each) are broadcast to the texts; beyond that both are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -179,12 +183,14 @@ def _spans(pieces: Column, matches: Column, lengths: Column, at: int, rule: Rule
     return F.when(n > 0, F.flatten(F.zip_with(chunks, offsets, within))).otherwise(F.array().cast(kind))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: ``id_col`` and ``spans``, an array of (start, at, kind, end) by start, then rule.
 
     Positions count code points, the end is exclusive; matches of one rule are leftmost and do not overlap, and a
     match whose group is too short is dropped after it has taken its place. A null or empty text has no spans. Repeated
     rows each get a row. A row with a null id is scanned for every rule without the index. Other columns are not read.
+    A text is matched whole, however long. The candidates are written and counted first; no more than ``broadcast_rows``
+    of them are broadcast, so that the texts stay where they lie.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if frozenset() not in q}
@@ -192,8 +198,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     rows = docs.select(F.col("__id"), F.coalesce("__text", F.lit("")).alias("__text"))
     if indexed:
         grams = sorted({g for q in indexed.values() for s in q for g in s})
-        found = candidates(build_index(docs, grams, "__id", "__text"), indexed)
-        rows = rows.join(found.select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds")), "__id", "left")
+        found = candidates(build_index(docs, grams, "__id", "__text"), indexed).select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds"))
+        found = written(found, "secret-candidates")
+        found = F.broadcast(found) if found.count() <= broadcast_rows else found.hint("merge")
+        rows = rows.join(found, "__id", "left")
     else:
         rows = rows.withColumn("__kinds", F.lit(None).cast("array<string>"))
     text, none = F.col("__text"), F.array().cast("array<string>")

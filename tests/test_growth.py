@@ -2,8 +2,10 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tideframe.functions import kernels
 from tideframe.operators import clean
 
 
@@ -13,3 +15,17 @@ def test_shingles_split_a_text_once(spark):
     got = spark.createDataFrame([(" ".join(words),)], "t string").select(clean.shingles(F.col("t")).alias("s")).first().s
     assert time.monotonic() - began < 20  # the text split anew for each shingle takes minutes
     assert len(got) == 19_998 and got[0] == "w0 w1 w2" and got[-1] == "w19997 w19998 w19999"
+
+
+def test_windows_are_measured_many_at_once():
+    rng = np.random.default_rng(1)
+    x, y = np.round(rng.normal(size=(3000, 20)), 1), np.round(rng.normal(size=(3000, 20)))
+    x[0], y[1] = 1.0, 2.0
+    began = time.monotonic()
+    got = {name: f(x, y) for name, f in kernels.ROWS.items()}
+    assert time.monotonic() - began < 3
+    for name, f in kernels.ROWS.items():
+        for i in (0, 1, *range(100, 130)):
+            want = kernels.DEPENDENCE[name](x[i], y[i])
+            if not (name == "gcmi" and i < 2):  # a column without variation: null, where rounding made a correlation of noise
+                assert np.isclose(got[name][i], want, atol=1e-9, equal_nan=True)

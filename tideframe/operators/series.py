@@ -54,22 +54,26 @@ def row_aligned(df: DataFrame, entity: str, order: Sequence[str], column: str, f
     return df.groupBy(entity).applyInArrow(run, schema)
 
 
-def rolling_apply(df: DataFrame, entity: str, time: str, columns: Sequence[str], window: int, f: Callable[..., float], out: str) -> DataFrame:
+def rolling_apply(df: DataFrame, entity: str, time: str, columns: Sequence[str], window: int, f: Callable[..., float], out: str, rows: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """Adds ``out``: ``f`` of the last ``window`` rows of the columns, which must be full and without nulls.
 
-    The windows are arrays of a Spark frame, so rows of an entity may be in any number of batches.
+    The windows are arrays of a Spark frame, so rows of an entity may be in any number of batches. ``rows`` is ``f`` for many
+    windows at once: of arrays (windows, points), one value for each window.
     """
-    import pandas as pd
-
     w = Window.partitionBy(entity).orderBy(time).rowsBetween(-(window - 1), 0)
+    many = rows or (lambda *a: np.array([f(*v) for v in zip(*a, strict=True)], float))
 
     def kernel(*cols):
-        def one(*v):
-            a = [np.asarray(x, float) for x in v]
-            y = f(*a) if all(len(x) == window and np.isfinite(x).all() for x in a) else np.nan
-            return y if np.isfinite(y) else None
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        return pd.Series([one(*v) for v in zip(*cols, strict=True)], dtype=object).astype(float)
+        full = np.logical_and.reduce([pc.fill_null(pc.equal(pc.list_value_length(c), window), False).to_numpy(zero_copy_only=False) for c in cols])
+        a = [c.filter(pa.array(full)).flatten().to_numpy(zero_copy_only=False).reshape(-1, window) for c in cols]
+        ok = np.logical_and.reduce([np.isfinite(x).all(axis=1) for x in a])
+        y = np.full(len(full), np.nan)
+        if ok.any():
+            y[np.flatnonzero(full)[ok]] = many(*[x[ok] for x in a])
+        return pa.array(y, mask=~np.isfinite(y))
 
     ok = F.lit(True)
     for c in columns:
@@ -77,8 +81,8 @@ def rolling_apply(df: DataFrame, entity: str, time: str, columns: Sequence[str],
     arrays = [F.collect_list(F.when(ok, F.col(c).cast("double"))).over(w) for c in columns]
     names = [f"__a{i}" for i in range(len(columns))]
     df = df.withColumns(dict(zip(names, arrays, strict=True)))
-    v = F.pandas_udf(kernel, "double", F.PandasUDFType.SCALAR)(*names)
-    return df.withColumn(out, F.when(~F.isnan(v), v)).drop(*names)
+    v = F.arrow_udf(kernel, "double", F.ArrowUDFType.SCALAR)(*names)
+    return df.withColumn(out, v).drop(*names)
 
 
 # --- features ----------------------------------------------------------------------------------------------------------------------
@@ -147,7 +151,7 @@ def dependence(df: DataFrame, entity: str, order: Sequence[str], x: str, y: str,
 
 
 def rolling_dependence(df: DataFrame, entity: str, time: str, x: str, y: str, window: int, name: str, out: str) -> DataFrame:
-    return rolling_apply(df, entity, time, [x, y], window, kernels.DEPENDENCE[name], out)
+    return rolling_apply(df, entity, time, [x, y], window, kernels.DEPENDENCE[name], out, kernels.ROWS.get(name))
 
 
 def kshape(df: DataFrame, entity: str, time: str, column: str, k: int, points: int = 64, seed: int = 42, rounds: int = 20) -> DataFrame:

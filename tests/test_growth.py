@@ -1,6 +1,7 @@
 """Steps whose work must not grow faster than their input."""
 
 import time
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -29,3 +30,33 @@ def test_windows_are_measured_many_at_once():
             want = kernels.DEPENDENCE[name](x[i], y[i])
             if not (name == "gcmi" and i < 2):  # a column without variation: null, where rounding made a correlation of noise
                 assert np.isclose(got[name][i], want, atol=1e-9, equal_nan=True)
+
+
+def _distances(v):
+    return np.abs(np.subtract.outer(v, v))
+
+
+def test_dependence_needs_no_matrix_of_all_pairs():
+    rng = np.random.default_rng(2)
+    for n, kind in ((9, 0), (57, 1), (200, 0), (200, 1)):
+        x = rng.normal(size=n)
+        y = x + rng.normal(size=n)
+        x, y = (np.round(x), np.round(y)) if kind else (x, y)
+        sx, sy = (np.sign(np.subtract.outer(v, v)) for v in (x, y))
+        assert np.isclose(kernels.kendall(x, y), (sx * sy).sum() / np.sqrt((sx**2).sum() * (sy**2).sum()))
+
+        def centred(d, n=n):
+            a = d - d.sum(1)[:, None] / (n - 2) - d.sum(1) / (n - 2) + d.sum() / ((n - 1) * (n - 2))
+            return a - np.diag(np.diag(a))
+
+        a, b = centred(_distances(x)), centred(_distances(y))
+        assert np.isclose(kernels.distance_correlation(x, y), (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+        d = _distances(x)
+        assert np.isclose(kernels._median_square(x), np.median(d[d > 0] ** 2))
+    x = rng.normal(size=20_000)
+    y = x + rng.normal(size=20_000)
+    tracemalloc.start()
+    assert 0.3 < kernels.kendall(x, y) < 0.7 and 0.2 < kernels.distance_correlation(x, y) < 0.6
+    assert np.isclose(kernels._median_square(x[:2048]), kernels._median_square(np.append(x[:2048], x[:2048].mean())), rtol=0.01)
+    assert tracemalloc.get_traced_memory()[1] < 2e8  # a matrix takes 3.2e9
+    tracemalloc.stop()

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideframe.functions import kernels
+from tideframe.functions import kernels, regress
 from tideframe.operators import clean
 
 
@@ -60,3 +60,17 @@ def test_dependence_needs_no_matrix_of_all_pairs():
     assert np.isclose(kernels._median_square(x[:2048]), kernels._median_square(np.append(x[:2048], x[:2048].mean())), rtol=0.01)
     assert tracemalloc.get_traced_memory()[1] < 2e8  # a matrix takes 3.2e9
     tracemalloc.stop()
+
+
+def test_bsadf_and_decomposition_work_on_whole_arrays():
+    x = np.random.default_rng(3).gamma(2, 20, 1500)
+    began = time.process_time()
+    got = kernels.bsadf(x, 30)
+    trend, seasonal, rest = regress.causal_decompose(np.tile(x, 40), 7)
+    assert time.process_time() - began < 0.6
+    for t in (29, 30, 61, 62, 700):
+        every = [kernels.augmented_dickey_fuller(x[s : t + 1], 0) for s in range(t - 28)]
+        assert np.isclose(got[t], np.nanmax(every), rtol=1e-6)
+    assert np.isnan(got[:29]).all() and np.allclose(trend + seasonal + rest, np.tile(x, 40))
+    short = regress.causal_decompose(x[:9], 7)[1]
+    assert len(short) == 9 and np.isfinite(short).all()

@@ -151,11 +151,11 @@ def causal_decompose(x: np.ndarray, period: int, trend: int | None = None, cycle
         i = np.arange(1, n + 1)
         return (c[i] - c[np.maximum(i - w, 0)]) / np.minimum(i, w)
 
-    s = np.zeros(n)
+    s, at = np.zeros(n), np.arange(n)
     t = trailing(x, trend)
     for _ in range(rounds):
         t = trailing(x - s, trend)
         d = x - t
-        s = np.array([d[i % period : i + 1 : period][-cycles:].mean() for i in range(n)])
+        s = sum((d[np.maximum(at - k * period, 0)] * (at >= k * period) for k in range(cycles - 1, -1, -1)), np.zeros(n)) / np.minimum(at // period + 1, cycles)
         s = s - trailing(s, period)
     return t, s, x - t - s

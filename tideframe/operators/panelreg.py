@@ -182,10 +182,8 @@ def unit_root_panel(df: DataFrame, entity: str, time: str, column: str, lags: in
 
 def decompose(df: DataFrame, entity: str, time: str, column: str, period: int) -> DataFrame:
     """Adds ``column_trend``, ``column_seasonal`` and ``column_remainder`` by trailing means."""
-    out = df
-    for i, part in enumerate(("trend", "seasonal", "remainder")):
-        out = series.row_aligned(out, entity, [time], column, lambda x, i=i: regress.causal_decompose(x, period)[i], f"{column}_{part}")
-    return out
+    parts = [f"{column}_{part}" for part in ("trend", "seasonal", "remainder")]
+    return series.row_aligned(df, entity, [time], column, lambda x: regress.causal_decompose(x, period), parts)
 
 
 def connectedness(df: DataFrame, time: str, columns: Sequence[str], lags: int = 1, horizon: int = 10, most: int = 100_000) -> DataFrame:

@@ -40,16 +40,20 @@ def _arrow(schema: T.StructType):
     return to_arrow_schema(schema)
 
 
-def row_aligned(df: DataFrame, entity: str, order: Sequence[str], column: str, f: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
-    """Adds ``out``: ``f`` of each entity's ordered column, one value for each row (null for NaN)."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+def row_aligned(df: DataFrame, entity: str, order: Sequence[str], column: str, f: Callable[[np.ndarray], np.ndarray | Sequence[np.ndarray]], out: str | Sequence[str]) -> DataFrame:
+    """Adds ``out``: ``f`` of each entity's ordered column, one value for each row (null for NaN); with several names, as many arrays."""
+    names = [out] if isinstance(out, str) else list(out)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(table):
         import pyarrow as pa
 
         table = table.sort_by([(c, "ascending") for c in order])
-        y = np.asarray(f(table.column(column).to_numpy(zero_copy_only=False).astype(float)), float)
-        return table.append_column(out, pa.array(y, mask=~np.isfinite(y)))
+        got = f(table.column(column).to_numpy(zero_copy_only=False).astype(float))
+        for n, y in zip(names, [got] if isinstance(out, str) else got, strict=True):
+            y = np.asarray(y, float)
+            table = table.append_column(n, pa.array(y, mask=~np.isfinite(y)))
+        return table
 
     return df.groupBy(entity).applyInArrow(run, schema)
 

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideframe.functions import kernels, regress
+from tideframe.functions import catch22, kernels, regress
 from tideframe.operators import clean
 
 
@@ -74,3 +74,18 @@ def test_bsadf_and_decomposition_work_on_whole_arrays():
     assert np.isnan(got[:29]).all() and np.allclose(trend + seasonal + rest, np.tile(x, 40))
     short = regress.causal_decompose(x[:9], 7)[1]
     assert len(short) == 9 and np.isfinite(short).all()
+
+
+def test_outlier_timing_is_by_places_that_fall_out():
+    rng = np.random.default_rng(4)
+    for n in (5, 40, 400):
+        z = catch22._z(rng.gamma(2, 20, n))
+        for sign in (1, -1):
+            y, want = z * sign, []
+            for level in np.arange(0, y.max() + 1e-12, 0.01):
+                at = np.flatnonzero(y >= level)
+                if len(at) < 2 or 100 * (len(at) - 1) / (y >= 0).sum() <= 2:
+                    break
+                want.append(np.median(at) / (n / 2) - 1 + 1 / (n / 2))
+            assert catch22.outlier_timing(z, sign) == (np.median(want) if want else 0.0)
+    assert catch22.catch22_all(np.ones(200))["SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1"] == 0  # was decided by rounding

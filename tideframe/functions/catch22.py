@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -116,7 +117,8 @@ def periodicity_wang(z: np.ndarray, threshold: float = 0.01) -> float:
     a = np.column_stack([t**k for k in range(4)] + knots)
     y = z - a @ np.linalg.lstsq(a, z, rcond=None)[0]
     most = math.ceil(n / 3)
-    c = np.array([(y[k:] * y[: n - k]).mean() for k in range(1, most + 1)])
+    f = np.fft.rfft(y, 1 << (2 * n - 1).bit_length())
+    c = np.fft.irfft(f * np.conj(f))[1 : most + 1] / (n - np.arange(1, most + 1))
     troughs = [i for i in range(1, most - 1) if c[i] < c[i - 1] and c[i] < c[i + 1]]
     for i in range(1, most - 1):
         if c[i] > c[i - 1] and c[i] > c[i + 1]:
@@ -155,11 +157,21 @@ def outlier_timing(z: np.ndarray, sign: int) -> float:
     n, out = len(y), []
     if (y == y[0]).all():
         return 0.0
-    for level in np.arange(0, y.max() + 1e-12, 0.01):
-        at = np.flatnonzero(y >= level)
-        if len(at) < 2 or 100 * (len(at) - 1) / (y >= 0).sum() <= 2:
-            break
-        out.append(np.median(at) / (n / 2) - 1 + 1 / (n / 2))
+    levels = np.arange(0, y.max() + 1e-12, 0.01)
+    total = (y >= 0).sum()
+    order = np.argsort(-y, kind="stable")  # the values above a level are the first of these
+    counts = np.searchsorted(-y[order], -levels, side="right")
+    last = np.flatnonzero((counts < 2) | (100 * (counts - 1) / total <= 2))
+    counts = counts[: last[0]] if len(last) else counts
+    medians = {}
+    places = sorted(order[: counts[0]].tolist()) if len(counts) else []
+    for c, more in zip(counts, np.append(counts[1:], -1), strict=False):  # levels rise: values fall out
+        if c not in medians:
+            m = len(places)
+            medians[c] = (places[(m - 1) // 2] + places[m // 2]) / 2
+        for gone in order[max(more, 0) : c] if more >= 0 else ():
+            del places[bisect.bisect_left(places, gone)]
+        out.append(medians[c] / (n / 2) - 1 + 1 / (n / 2))
     return float(np.median(out)) if out else 0.0
 
 
@@ -192,18 +204,24 @@ def fluctuation(z: np.ndarray, dfa: bool, lag: int = 1) -> float:
     f = []
     for s in scales:
         part = y[: n // s * s].reshape(-1, s)
-        t = np.arange(s)
-        a = np.column_stack((np.ones(s), t))
-        rest = part - (a @ (np.linalg.pinv(a) @ part.T)).T
+        t = np.arange(s) - (s - 1) / 2
+        rest = part - part.mean(axis=1, keepdims=True)
+        rest -= np.outer(rest @ t / (t @ t), t)
         f.append(math.sqrt((rest**2).mean()) if dfa else math.sqrt(((rest.max(1) - rest.min(1)) ** 2).mean()))
     x, v = np.log(scales), np.log(np.maximum(f, 1e-300))
 
-    def error(a, b):
-        c = np.polyfit(a, b, 1)
-        return np.sqrt(((np.polyval(c, a) - b) ** 2).sum())
-
+    if (v == v[0]).all():  # no fluctuation at any scale: nothing to fit
+        return 0.0
     least = 6
-    fit = [error(x[: i + 1], v[: i + 1]) + error(x[i:], v[i:]) for i in range(least - 1, len(x) - least + 1)]
+    one, sx, sy, sxx, sxy, syy = (np.concatenate(([0.0], np.cumsum(q))) for q in (np.ones(len(x)), x - x.mean(), v - v.mean(), (x - x.mean()) ** 2, (x - x.mean()) * (v - v.mean()), (v - v.mean()) ** 2))
+
+    def error(lo, hi):
+        n, a, b, aa, ab, bb = (q[hi] - q[lo] for q in (one, sx, sy, sxx, sxy, syy))
+        xx, xy, yy = aa - a * a / n, ab - a * b / n, bb - b * b / n
+        return np.sqrt(np.maximum(yy - xy * xy / xx, 0))
+
+    i = np.arange(least - 1, len(x) - least + 1)
+    fit = error(0, i + 1) + error(i, len(x))
     return float((int(np.argmin(fit)) + least) / len(x))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tideframe.functions import catch22, kernels, regress
-from tideframe.operators import clean
+from tideframe.operators import clean, evaluation
 
 
 def test_shingles_split_a_text_once(spark):
@@ -89,3 +89,24 @@ def test_outlier_timing_is_by_places_that_fall_out():
                 want.append(np.median(at) / (n / 2) - 1 + 1 / (n / 2))
             assert catch22.outlier_timing(z, sign) == (np.median(want) if want else 0.0)
     assert catch22.catch22_all(np.ones(200))["SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1"] == 0  # was decided by rounding
+
+
+def test_p_values_are_adjusted_over_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(3000) ** 3, 4)
+    df = spark.createDataFrame([*enumerate(p.tolist()), (5000, None)], "id long, p double")
+    order, n = np.argsort(p, kind="stable"), len(p)
+    i = np.arange(1, n + 1)
+    down = lambda v: np.minimum.accumulate(v[::-1])[::-1]
+    want = {"bonferroni": p[order] * n, "holm": np.maximum.accumulate((n - i + 1) * p[order]), "bh": down(n * p[order] / i), "by": down((1 / i).sum() * n * p[order] / i)}
+    for method, w in want.items():
+        out = evaluation.adjust_p_values(df, "p", method)
+        got = {r.id: r.p_adjusted for r in out.collect()}
+        assert (got.pop(5000) is None or method == "bonferroni") and np.allclose([got[k] for k in order], np.minimum(w, 1))
+        if method != "bonferroni":
+            assert out.groupBy(F.spark_partition_id()).count().count() > 1  # one window held all rows in a task
+    groups = spark.createDataFrame([(g, float(v)) for g in "ab" for v in p[:100]], "g string, p double")
+    w = np.sort(p[:100])
+    got = sorted(r.p_adjusted for r in evaluation.adjust_p_values(groups, "p", "by", by=["g"]).where("g = 'a'").collect())
+    k = np.arange(1, 101)
+    assert np.allclose(got, np.minimum(down((1 / k).sum() * 100 * w / k), 1))

@@ -110,3 +110,13 @@ def test_p_values_are_adjusted_over_many_tasks(spark):
     got = sorted(r.p_adjusted for r in evaluation.adjust_p_values(groups, "p", "by", by=["g"]).where("g = 'a'").collect())
     k = np.arange(1, 101)
     assert np.allclose(got, np.minimum(down((1 / k).sum() * 100 * w / k), 1))
+
+
+def test_a_word_of_all_names_makes_no_pairs(spark):
+    names = spark.range(20_000).select("id", F.format_string("Customer#%09d", "id").alias("n"))
+    began = time.monotonic()
+    assert clean.resolve_entities(names, "id", "n", 0.95).count() == 0
+    words = names.select(F.col("id"), F.array(F.lit("customer"), F.format_string("%09d", "id")).alias("w")).select("id", F.col("id").alias("n"), F.lit(0).alias("k"), "w")
+    keys = clean._prefix_tokens(words, 0.95)
+    assert keys.count() == 20_000 == keys.select("x").distinct().count()  # the common word was a key of about half of them
+    assert time.monotonic() - began < 90

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tideframe.functions import catch22, kernels, regress
-from tideframe.operators import clean, evaluation
+from tideframe.operators import clean, evaluation, labels
 
 
 def test_shingles_split_a_text_once(spark):
@@ -120,3 +120,23 @@ def test_a_word_of_all_names_makes_no_pairs(spark):
     keys = clean._prefix_tokens(words, 0.95)
     assert keys.count() == 20_000 == keys.select("x").distinct().count()  # the common word was a key of about half of them
     assert time.monotonic() - began < 90
+
+
+def test_trend_scan_is_one_pass_over_arrays(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=40)
+    df = spark.createDataFrame([("a", i, float(v) if i != 20 else None) for i, v in enumerate(x)], "e string, t long, x double")
+    for forward in (False, True):
+        out = labels.trend_scan(df, "e", "t", "x", 5, 11, 3, forward)
+        assert "regr_" not in out._jdf.queryExecution().optimizedPlan().toString()  # twelve sliding aggregates
+        got = {r.t: (r.trend_t, r.trend_window) for r in out.collect()}
+        for i in range(40):
+            best = None
+            for n in (5, 8, 11):
+                v = x[i : i + n] if forward else x[max(0, i - n + 1) : i + 1]
+                if len(v) == n and 20 not in (range(i, i + n) if forward else range(i - n + 1, i + 1)):
+                    at = np.arange(n)
+                    b, a = np.polyfit(at, v, 1)
+                    t = b / np.sqrt(((v - a - b * at) ** 2).sum() / (n - 2) / ((at - at.mean()) ** 2).sum())
+                    best = (t, n) if best is None or abs(t) > abs(best[0]) else best
+            assert got[i] == (None, None) if best is None else np.allclose(got[i], best)

@@ -140,3 +140,17 @@ def test_trend_scan_is_one_pass_over_arrays(spark):
                     t = b / np.sqrt(((v - a - b * at) ** 2).sum() / (n - 2) / ((at - at.mean()) ** 2).sum())
                     best = (t, n) if best is None or abs(t) > abs(best[0]) else best
             assert got[i] == (None, None) if best is None else np.allclose(got[i], best)
+
+
+def test_spans_take_one_grouping(spark):
+    df = spark.createDataFrame([("a", i, i + 2 if i < 6 else None, float(i + 1)) for i in range(8)] + [("b", 0, -5, 1.0), ("b", 1, 1, 2.0)], "e string, t long, t1 long, x double")
+    for out in (labels.concurrency(df, "e", "t"), labels.average_uniqueness(df, "e", "t"), labels.return_attribution(df, "e", "t", "x")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan  # several windows and joins held an entity's rows in one task at once
+    held = {(r.e, r.t): r for r in labels.concurrency(df, "e", "t").collect()}
+    assert [held["a", i].concurrency for i in range(8)] == [1, 2, 3, 3, 3, 3, 2, 1] and held["a", 7]["__e"] is None
+    assert held["b", 0]["__e"] is None and (held["b", 1]["__s"], held["b", 1]["__e"]) == (2, 2)
+    u = {(r.e, r.t): r.uniqueness for r in labels.average_uniqueness(df, "e", "t").collect()}
+    assert np.isclose(u["a", 0], (1 + 1 / 2 + 1 / 3) / 3) and u["a", 6] is None and u["b", 1] == 1
+    w = {(r.e, r.t): r.w_return for r in labels.return_attribution(df, "e", "t", "x").collect()}
+    assert np.isclose(w["a", 0], np.log(2) / 2 + np.log(1.5) / 3) and w["a", 7] is None

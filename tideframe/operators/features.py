@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tideframe.functions.core import clean, div
@@ -19,7 +19,7 @@ def _held(name: str) -> Callable[[], Column]:
     return lambda: F.col(name)
 
 
-X, N, RN, MEAN, MIN, MAX, SD = map(_held, ("__x", "__n", "__rn", "__mean", "__min", "__max", "__sd"))
+X, N, RN, MEAN, MIN, MAX, SD, SIDE = map(_held, ("__x", "__n", "__rn", "__mean", "__min", "__max", "__sd", "__side"))
 
 
 def lag(k: int) -> Column:
@@ -90,8 +90,8 @@ FEATURES: dict[str, Callable[[], Column]] = {
     "cid_ce_normalized": lambda: cid_ce(True),
     "count_above_0": lambda: 100 * div(_count(X() >= 0), F.count(F.lit(1))),
     "count_below_0": lambda: 100 * div(_count(X() <= 0), F.count(F.lit(1))),
-    "count_above_mean": lambda: _count(X() > MEAN()),
-    "count_below_mean": lambda: _count(X() < MEAN()),
+    "count_above_mean": lambda: _count(SIDE() > 0),
+    "count_below_mean": lambda: _count(SIDE() < 0),
     "first_location_of_maximum": lambda: div(F.min(F.when(X() == MAX(), RN())) - 1, F.max(N())),
     "first_location_of_minimum": lambda: div(F.min(F.when(X() == MIN(), RN())) - 1, F.max(N())),
     "last_location_of_maximum": lambda: div(F.max(F.when(X() == MAX(), RN())), F.max(N())),
@@ -130,12 +130,25 @@ FEATURES: dict[str, Callable[[], Column]] = {
 LAGS, LEADS = 4, 4
 
 
+def side_of_mean(x: Column, every: WindowSpec) -> Column:
+    """1, 0 or -1: whether x is above, at or below the mean of its window; null for null.
+
+    A floating-point mean depends on the order of its sum, and a value that equals the mean falls on either side of it. Values of up to
+    8 decimals are therefore summed as decimals, which is exact; the others of a window are compared as doubles.
+    """
+    d = x.try_cast("decimal(24,8)")
+    exact = F.coalesce(F.min(F.when(x.isNotNull(), F.coalesce(d.cast("double") == x, F.lit(False)))).over(every), F.lit(True))
+    total, n = F.sum(d).over(every), F.count(x).over(every).try_cast("decimal(10,0)")
+    known = exact & total.isNotNull() & n.isNotNull()
+    return F.when(x.isNotNull(), F.when(known, F.signum(d * n - total)).otherwise((x > F.avg(x).over(every)).cast("int") - (x < F.avg(x).over(every)).cast("int")).cast("int"))
+
+
 def window_pass(df: DataFrame, entity: str, time: Sequence[str], column: str, keep: Sequence[str] = ()) -> DataFrame:
     """The columns that the features read: the value, its place, its neighbours, and its entity's moments."""
     w = Window.partitionBy(entity).orderBy(*time)
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.select(F.col(entity), *[F.col(t) for t in time if t != column], *[F.col(k) for k in keep], clean(F.col(column)).alias("__x"))
-    new = {"__rn": F.row_number().over(w), "__n": F.count(F.lit(1)).over(every), "__mean": F.avg("__x").over(every), "__min": F.min("__x").over(every), "__max": F.max("__x").over(every), "__sd": F.stddev_samp("__x").over(every), "__top": F.max("__x").over(w.rowsBetween(Window.unboundedPreceding, 0))}
+    new = {"__rn": F.row_number().over(w), "__n": F.count(F.lit(1)).over(every), "__mean": F.avg("__x").over(every), "__min": F.min("__x").over(every), "__max": F.max("__x").over(every), "__sd": F.stddev_samp("__x").over(every), "__top": F.max("__x").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__side": side_of_mean(X(), every)}
     new |= {f"__lag{k}": F.lag("__x", k).over(w) for k in range(1, LAGS + 1)} | {f"__lead{k}": F.lead("__x", k).over(w) for k in range(1, LEADS + 1)}
     return df.withColumns(new)
 
@@ -224,7 +237,7 @@ def streak_features(df: DataFrame, entity: str, time: Sequence[str], column: str
     # the one shuffle by entity serves the pass and all four island windows
     keys = held.select(entity).distinct()
     out = keys
-    for name, condition in (("longest_streak_above_mean", X() > MEAN()), ("longest_streak_below_mean", X() < MEAN()), ("longest_winning_streak", X() - lag(1) >= 0), ("longest_losing_streak", X() - lag(1) <= 0)):
+    for name, condition in (("longest_streak_above_mean", SIDE() > 0), ("longest_streak_below_mean", SIDE() < 0), ("longest_winning_streak", X() - lag(1) >= 0), ("longest_losing_streak", X() - lag(1) <= 0)):
         best = streaks(held, entity, time, condition).groupBy(entity).agg(F.max("length").alias(name))
         out = out.join(best, entity, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
     return out

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideframe.operators import labels
 
@@ -27,23 +26,19 @@ def sequential_draws(start: np.ndarray, end: np.ndarray, draws: int, seed: int =
 
 def sequential_bootstrap(df: DataFrame, entity: str, time: str, t1: str = "t1", seed: int = 0) -> DataFrame:
     """Adds ``n_drawn``: how often each label is drawn, by a sequential bootstrap inside its entity of as many draws as labels."""
-    held = labels.positions(df, entity, time, t1)
-    schema = T.StructType([*held.schema.fields, T.StructField("n_drawn", T.LongType())])
-
-    def run(key, table):
-        import pyarrow as pa
-
-        s, e = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("__s", "__e"))
-        ok = np.isfinite(e) & (e >= s)
-        n = np.zeros(len(s), np.int64)
-        if ok.any():
-            order = np.flatnonzero(ok)[np.argsort(s[ok], kind="stable")]
-            first = int(s[order].min())
-            drawn = sequential_draws(s[order].astype(int) - first, e[order].astype(int) - first, len(order), seed + len(order))
-            np.add.at(n, order[drawn], 1)
-        return table.append_column("n_drawn", pa.array(n))
-
-    return held.groupBy(entity).applyInArrow(run, schema).select(*df.columns, "n_drawn")
+
+    def f(has, e):
+        s = np.arange(1, len(e) + 1)
+        n = np.zeros(len(e), np.int64)
+        order = np.flatnonzero(has & (e >= s))
+        if len(order):
+            first = s[order[0]]
+            np.add.at(n, order[sequential_draws(s[order] - first, e[order] - first, len(order), seed + len(order))], 1)
+        return {"n_drawn": n}
+
+    # rows without an entity have no label that could be drawn
+    drawn = F.when(F.col(entity).isNotNull(), F.col("n_drawn")).otherwise(0).alias("n_drawn")
+    return labels._along(df, entity, time, t1, [], "n_drawn long", f).select(*df.columns, drawn)
 
 
 def fold_weights(df: DataFrame, entity: str, time: str, train: Sequence, t1: str = "t1", price: str | None = None, decay: float | None = None) -> DataFrame:

@@ -179,5 +179,5 @@ def compress(spark, sf_dir):
 def bootstrap(spark, sf_dir):
     from tideframe.operators import sampling
 
-    df = supplier_day(spark, sf_dir).withColumn("t1", F.lead("time", 3).over(W()))
+    df = supplier_day(spark, sf_dir, True).withColumn("t1", F.lead("time", 3).over(W()))
     return sampling.sequential_bootstrap(df.select(*KEYS, "t1"), "entity", "time").select(*KEYS, "n_drawn")

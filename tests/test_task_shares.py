@@ -6,14 +6,14 @@ import __spark_entry__ as entry
 import pytest
 
 from tideframe.functions import core
-from tideframe.operators import sampling
+from tideframe.operators import labels, sampling
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sample_sequential_bootstrap"])
+@pytest.mark.parametrize("name", ["sample_sequential_bootstrap", "sizing_average_active"])
 def test_partitions_grow_with_the_input(spark, sf, name, monkeypatch):
     monkeypatch.setattr(core, "SHARE", 1000)
     plan = _plan(entry.queries()[name](spark, sf))
@@ -36,3 +36,18 @@ def test_bootstrap_has_one_shuffle_and_no_join(spark):
     assert len(got) == len(rows)
     assert got["a", 3] == got["a", 4] == got[None, 1] == 0  # no end, an end before its start, no entity
     assert got["a", 1] + got["a", 2] + got["a", None] == 3 and got["b", 5] == 1
+
+
+def test_average_active_has_one_shuffle_and_no_join(spark):
+    rows = [("a", 1, 2.0, 3), ("a", 1, 4.0, None), ("a", 2, 1.0, 2), ("a", 3, 5.0, 4), ("a", 5, 3.0, 5), ("b", 1, 7.0, 2), ("b", 9, 1.0, 9), ("b", None, 1.0, None), (None, 3, 2.0, None)]
+    out = labels.average_active(spark.createDataFrame(rows, "k string, t long, size double, exit long"), "k", "t")
+    plan = _plan(out)
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert out.columns == ["k", "t", "size", "exit", "avg_size"]
+
+    def want(k, t):
+        # a bet without a time counts from the start
+        held = [s for e, u, s, x in rows if k is not None and t is not None and e == k and (u is None or u <= t) and (x is None or t < x)]
+        return sum(held) / len(held) if held else 0.0
+
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((*r, want(r[0], r[1])) for r in rows), key=str)

@@ -307,7 +307,7 @@ def discretize(spark, sf_dir):
 
 @query("sizing_average_active", _sd("SELECT a.entity, a.time, round(COALESCE((SELECT AVG(b.y) FROM s b WHERE b.entity = a.entity AND b.time <= a.time AND (b.t1 IS NULL OR a.time < b.t1)), 0), 6) AS avg_size FROM s a", f", s AS (SELECT *, LEAD(time, 3) OVER ({SQL_W}) AS t1 FROM sd)"))
 def average_active(spark, sf_dir):
-    df = supplier_day(spark, sf_dir).withColumn("exit", F.lead("time", 3).over(W()))
+    df = supplier_day(spark, sf_dir, True).withColumn("exit", F.lead("time", 3).over(W()))
     return _rounded(labels.average_active(df, "entity", "time", "y"), "avg_size")
 
 

@@ -85,21 +85,23 @@ def impute(p: PanelFrame, method: str | float = "ffill", columns: Sequence[str]
     """ffill, mean, median, constant (a number), and, since they read the future, bfill and interpolate if allowed."""
     if method in ("bfill", "interpolate", "mean", "median") and not allow_leaky and method in ("bfill", "interpolate"):
         raise ValueError(f"{method} looks ahead: pass allow_leaky=True")
-    past, ahead, every = p.window.rowsBetween(Window.unboundedPreceding, 0), p.window.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(p.entity)
+    past, every = p.window.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(p.entity)
+    # backwards, since Spark goes through all the rows of a frame that begins at its row anew for each
+    ahead = every.orderBy(F.desc("__rn")).rowsBetween(Window.unboundedPreceding, 0)
     df, new = p.df, {}
-    if method == "interpolate":
+    if method in ("bfill", "interpolate"):
         df = df.withColumn("__rn", F.row_number().over(p.window))
     for c in _cols(p, columns):
         x = clean(F.col(c))
         if method == "ffill":
             y = F.last(x, ignorenulls=True).over(past)
         elif method == "bfill":
-            y = F.first(x, ignorenulls=True).over(ahead)
+            y = F.last(x, ignorenulls=True).over(ahead)
         elif method in ("mean", "median"):
             y = (F.avg(x) if method == "mean" else F.percentile(x, 0.5)).over(every)
         elif method == "interpolate":
             at = F.when(x.isNotNull(), F.struct(F.col("__rn").alias("k"), x.alias("x")))
-            a, b = F.last(at, ignorenulls=True).over(past), F.first(at, ignorenulls=True).over(ahead)
+            a, b = F.last(at, ignorenulls=True).over(past), F.last(at, ignorenulls=True).over(ahead)
             y = a["x"] + (b["x"] - a["x"]) * F.coalesce(div(F.col("__rn") - a["k"], b["k"] - a["k"]), F.lit(0.0))
         else:
             y = F.lit(float(method))

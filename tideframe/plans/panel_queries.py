@@ -15,8 +15,8 @@ from tideframe.plans.panels import SQL_EVENTS, SQL_PRICES, SQL_SUPPLIER, SQL_W,
 KEYS = ["entity", "time"]
 
 
-def _panel(spark, sf_dir) -> PanelFrame:
-    return PanelFrame(supplier_day(spark, sf_dir), "entity", "time")
+def _panel(spark, sf_dir, deal: bool | int = False) -> PanelFrame:
+    return PanelFrame(supplier_day(spark, sf_dir, deal), "entity", "time")
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _prep(name: str, sql: str):
     """A query of one preparation step over column x of the supplier panel."""
 
     def put(f):
-        query(name, sql)(lambda spark, sf_dir: _rounded(f(_panel(spark, sf_dir)).df, "x"))
+        query(name, sql)(lambda spark, sf_dir: _rounded(f(_panel(spark, sf_dir, name.startswith("impute_"))).df, "x"))
         return f
 
     return put

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.functions.core import dealt, shares
 from tideframe.operators import asof, bars, clean, econ, evaluation, labels, preprocess, quality, transform, xs
 from tideframe.panel import PanelFrame
 from tideframe.plans.catalog import query
@@ -160,9 +161,12 @@ def pipeline(spark, sf_dir):
 _VINT = ", v AS (SELECT l_suppkey AS entity, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS ev, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS kn, MAX(l_extendedprice) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
 
 
-def _vintages(spark, sf_dir) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy(F.col("l_suppkey").alias("entity"), day("o_orderdate").alias("ev"), day("l_shipdate").alias("kn")).agg(F.max("l_extendedprice").alias("val"))
+def _vintages(spark, sf_dir, parts: int) -> DataFrame:
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    lines = dealt(lines.select("l_orderkey", F.col("l_suppkey").alias("entity"), day("l_shipdate").alias("kn"), F.col("l_extendedprice").alias("val")), "l_orderkey", parts=parts)
+    orders = dealt(orders.select("o_orderkey", day("o_orderdate").alias("ev")), "o_orderkey", parts=parts)
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("entity", "ev", "kn", "val")
+    return dealt(rows, "entity", parts=parts).groupBy("entity", "ev", "kn").agg(F.max("val").alias("val"))
 
 
 def _asof_sql(lag: int) -> str:
@@ -178,8 +182,9 @@ def _asof_sql(lag: int) -> str:
 def _asof(name: str, lag: int) -> None:
     @query(name, _asof_sql(lag))
     def run(spark, sf_dir):
-        p = _panel(spark, sf_dir).select()
-        return p.asof_join(_vintages(spark, sf_dir), event_time="ev", knowledge_time="kn", lag=lag, provenance=True).df.select(*KEYS, "val", "ev", "kn")
+        parts = shares(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"))
+        p = _panel(spark, sf_dir, parts).select()
+        return p.asof_join(_vintages(spark, sf_dir, parts), event_time="ev", knowledge_time="kn", lag=lag, provenance=True).df.select(*KEYS, "val", "ev", "kn")
 
 
 _asof("asof_join", 0)

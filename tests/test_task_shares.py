@@ -16,7 +16,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sample_sequential_bootstrap", "sizing_average_active", "impute_interpolate", "impute_bfill", "asof_join", "asof_join_lagged"])
+@pytest.mark.parametrize("name", ["sample_sequential_bootstrap", "sizing_average_active", "impute_interpolate", "impute_bfill", "asof_join", "asof_join_lagged", "quality_validate"])
 def test_partitions_grow_with_the_input(spark, sf, name, monkeypatch):
     monkeypatch.setattr(core, "SHARE", 1000)
     plan = _plan(entry.queries()[name](spark, sf))
